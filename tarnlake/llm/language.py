@@ -371,7 +371,7 @@ def fit_model(spark: SparkSession, sources: list[DataFrame], per_label: int = 15
         rates = F.create_map(*[F.lit(x) for pair in wanted for x in pair])
         draw = (F.pmod(F.xxhash64("text", F.lit(17)), F.lit(1_000_003)) / F.lit(1_000_003.0)).alias("draw")
         rate = F.try_element_at(rates, F.col("lang"))
-        picked = labelled.select("lang", "text", draw).filter(F.col("draw") < F.coalesce(rate, F.lit(0.0))).select("lang", F.substring("text", 1, 4000).alias("text"))
+        picked = labelled.select("lang", "text", draw).filter(F.col("draw") < F.coalesce(rate, F.lit(0.0))).select("lang", "text")
         taken: dict[str, int] = {}
         for row in picked.limit(per_label * max_labels).collect():
             if taken.setdefault(row["lang"], 0) < 2 * per_label:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnlake.plans import history_queries, retrieval_queries, risk_queries, temporal_queries, text_queries
+from tarnlake.plans import history_queries, monitoring_queries, retrieval_queries, risk_queries, temporal_queries, text_queries
 
-_FAMILIES = (history_queries, temporal_queries, retrieval_queries, risk_queries, text_queries)
+_FAMILIES = (history_queries, temporal_queries, retrieval_queries, risk_queries, text_queries, monitoring_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -165,7 +165,7 @@ class VectorCells:
             centre = _unit(centre)
         return cls(centre)
 
-    def search(self, vectors: DataFrame, queries: DataFrame, k: int = 10, probes: int = 8, block: int = 2048) -> DataFrame:
+    def search(self, vectors: DataFrame, queries: DataFrame, k: int = 10, probes: int = 12, block: int = 2048) -> DataFrame:
         """Like dense_top_k, but each query meets only the ``probes`` cells nearest to it."""
         spark = vectors.sparkSession
         prepare(spark)

@@ -7,7 +7,7 @@ dropped while the penalised likelihood grows; what is left is the text's languag
 paragraph then takes the most probable language of that set.
 
 The n-gram model is trained here, on a bounded, documented sample of labelled rows
-(``per_label`` rows of each label, at most ``max_labels`` labels), with a second EM that corrects the
+(about 1.5 times ``per_label`` rows of each label, at most ``max_labels`` labels), with a second EM that corrects the
 sample's false labels; a few function words and the script of each letter serve as its prior.
 Classification itself covers every row and whole texts in one Arrow pass without a shuffle.
 
@@ -359,7 +359,7 @@ def fit_model(spark: SparkSession, sources: list[DataFrame], per_label: int = 15
     """Train on at most per_label rows of each of the max_labels commonest raw labels of each source.
 
     ``sources`` have the columns text and lang.  The sample is drawn by a hash of the text, so it is
-    the same on every run; at most len(sources) * per_label * max_labels rows reach the driver.
+    the same on every run; at most 2 * len(sources) * per_label * max_labels rows reach the driver.
     """
     samples: list[tuple[str, str | None]] = []
     for source in sources:
@@ -373,7 +373,7 @@ def fit_model(spark: SparkSession, sources: list[DataFrame], per_label: int = 15
         rate = F.try_element_at(rates, F.col("lang"))
         picked = labelled.select("lang", "text", draw).filter(F.col("draw") < F.coalesce(rate, F.lit(0.0))).select("lang", "text")
         taken: dict[str, int] = {}
-        for row in picked.limit(per_label * max_labels).collect():
+        for row in picked.limit(2 * per_label * max_labels).collect():
             if taken.setdefault(row["lang"], 0) < 2 * per_label:
                 taken[row["lang"]] += 1
                 samples.append((row["text"], row["lang"]))

@@ -236,7 +236,7 @@ def _wiki_text(text: str) -> str:
     text = re.sub(r"(?<!')'{2,5}(?=[^\s'])([^\n]*?)(?<=[^\s'])'{2,5}(?!')", r"\1", text)
     text = re.sub(r"^\{\|[^\n]*\n?|^\|\}[ \t]*\n?|^\|-[^\n]*\n?", "", text, flags=re.MULTILINE)
     text = re.sub(r"^[!|][ \t]*([^\n]*)$", lambda m: re.sub(r"[ \t]*(?:\|\||!!)[ \t]*", "\t", m.group(1)), text, flags=re.MULTILINE)
-    return re.sub(r"^\*+[ \t]*(?=\S)", "- ", text, flags=re.MULTILINE)
+    return re.sub(r"^\*{1,4}[ \t]+(?=\S)|^\*{1,4}(?=\[\[)", "- ", text, flags=re.MULTILINE)
 
 
 def _markdown_text(text: str) -> str:

@@ -66,8 +66,9 @@ def mixture_plan(totals: DataFrame, targets: DataFrame) -> DataFrame:
     The mix is to be as large as all documents of all sources.  ``totals`` has a row per source.
     """
     wanted = targets.filter(F.col("mix_id").isNotNull() & F.col("source").isNotNull() & F.col("target_share").isNotNull()).distinct()
-    size = totals.agg(F.coalesce(F.sum("supply"), F.lit(0)).alias("mix_tokens"))
-    plan = wanted.join(totals, "source", "left").crossJoin(size)  # one row
+    one = F.lit(1).alias("one")
+    size = totals.agg(F.coalesce(F.sum("supply"), F.lit(0)).alias("mix_tokens")).select("mix_tokens", one)
+    plan = wanted.join(totals, "source", "left").select("*", one).join(size, "one")  # a single row on the right
     supply = F.coalesce("supply", F.lit(0))
     repeats = F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(0))
     demand = F.col("target_share") * F.col("mix_tokens")

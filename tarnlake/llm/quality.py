@@ -50,6 +50,7 @@ _BULLET = re.compile(r"(?:[–—•*\-·▪◦]|\(?\d{1,3}[.)]|\(?[A-Za-z][.)]|
 _LEADER = re.compile(r"\.{3,}\s*\d+$|…{2,}\s*\d+$")
 _MOJIBAKE = re.compile("[\x80-\x9f�Ã¤±¼¶ŸÅ]")
 _WIDE = re.compile("[\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff]")
+_VOWEL_SIGN = re.compile("[\u0300-\u036f\u0610-\u061a\u064b-\u065f\u0900-\u0903\u093a-\u093c\u093e-\u094f\u0962\u0963\u0e31\u0e34-\u0e3a\u0e47-\u0e4e]")
 _MACHINE = re.compile(r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d|\b0x[0-9a-fA-F]+\b|^[0-9a-f]{8}\s+(?:[0-9a-f]{2}\s+){3}|^\s+at [\w.$]+\(|^[{\[].*[\]}],?$")
 _LETTER = re.compile(r"[^\W\d_]")
 _VOWEL = re.compile("[aeiouyıöüâêîôûáéíóúàèìòùãõäəëïœæåаеёиоуыэюя]", re.IGNORECASE)
@@ -209,6 +210,8 @@ def text_profile(text: str) -> tuple:
     lowered = text.lower().split()
     common = sum(w.strip(_WORD_EDGE) in COMMON_WORDS for w in lowered)
     letters_digits = sum(map(str.isalnum, text))
+    if not text.isascii():
+        letters_digits += len(_VOWEL_SIGN.findall(text))
     ends = sum(1 for s in lines if _SENTENCE_END.search(s))
     common_share = common / n_words if n_words else 0.0
     prose, listed, table, junk = classify_lines(text, common_share)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnlake.functions.binomial import lower_tail
+from tarnlake.functions.running import running
 
 GRID = 50
 MODES = ("strict", "flagged", "permissive")
@@ -77,23 +78,17 @@ def assembled_answers(records: DataFrame, variant: str, mode: str) -> DataFrame:
     return judged.select("query_id", F.array_join(F.filter(texts, lambda t: F.length(t) > 0), " ").alias("answer"), F.size(texts).alias("n_claims"))
 
 
-def grid(df: DataFrame) -> DataFrame:
-    """The thresholds 0.02, 0.04 ... 1.00 with their places from 1."""
-    return df.sparkSession.range(1, GRID + 1).select(F.col("id").cast("int").alias("place"), F.round(F.col("id") * 0.02, 2).alias("lambda"))
-
-
 def threshold_candidates(obs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Answered and failed responses at every threshold of the grid, in one pass over the data.
 
     ``obs`` may hold several configurations or trials, told apart by ``keys``.
     """
     keys = list(keys)
-    points = grid(obs)
     thresholds = F.transform(F.sequence(F.lit(1), F.lit(GRID)), lambda i: F.round(i * 0.02, 2))
     first = F.when(F.col("answered"), F.array_position(F.transform(thresholds, lambda t: F.col("statistic") <= t), F.lit(True)))
     per_place = obs.groupBy(*keys, first.alias("place")).agg(F.count(F.lit(1)).alias("n_here"), F.count_if("loss").alias("bad_here"))
     totals = per_place.groupBy(*keys).agg(F.sum("n_here").alias("n"))
-    full = totals.crossJoin(F.broadcast(points))  # at most 50 rows on the right
+    full = totals.withColumn("point", F.explode(F.transform(F.sequence(F.lit(1), F.lit(GRID)), lambda i: F.struct(i.alias("place"), F.round(i * 0.02, 2).alias("lambda"))))).select(*keys, "n", "point.*")
     joined = full.join(per_place.filter(F.col("place") > 0), [*keys, "place"], "left")
     w = Window.partitionBy(*keys).orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return joined.select(
@@ -156,12 +151,12 @@ def operating_point(obs: DataFrame, threshold: Column, keys: Sequence[str] = ())
 def risk_coverage(obs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Risk among the first k answered responses by statistic, with coverage k over all.
 
-    The order is total (statistic, query id); configurations are separate windows.
+    The order is total (statistic, query id).  A configuration may hold all rows, so it is cut into
+    buckets of the statistic that are counted apart.
     """
-    w = Window.partitionBy(*keys).orderBy("statistic", "query_id")
-    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     totals = obs.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))
-    served = obs.filter("answered").withColumn("k", F.row_number().over(w)).withColumn("bad", F.sum(F.col("loss").cast("int")).over(run))
+    bucket = F.floor(F.col("statistic") * 4096).cast("int")
+    served = running(obs.filter("answered"), keys, bucket, [F.asc("statistic"), F.asc("query_id")], {"bad": F.col("loss").cast("int")}, place="k")
     return served.join(totals, list(keys)).select(*keys, "query_id", "k", (F.col("k") / F.col("total")).alias("coverage"), (F.col("bad") / F.col("k")).alias("risk"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tarnlake.functions.running import running
 from tarnlake.operators import temporal
 from tarnlake.session import read
 
@@ -40,8 +41,8 @@ def current_chunks(spark: SparkSession, sf: str) -> DataFrame:
 def documents_in_force(spark: SparkSession, sf: str) -> DataFrame:
     """Documents of each tenant in force, newest first."""
     rows = temporal.current(temporal.versions_of(read(spark, sf, "chunks")))
-    w = Window.partitionBy("tenant_id").orderBy(F.desc("valid_from"), "doc_id")
-    return rows.select("tenant_id", "doc_id", "version", F.row_number().over(w).cast("bigint").alias("place"))
+    placed = running(rows, ["tenant_id"], F.date_trunc("week", "valid_from"), [F.desc("valid_from"), F.asc("doc_id")], descending=True)
+    return placed.select("tenant_id", "doc_id", "version", "place")
 
 
 def version_chain(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,9 +1,8 @@
 """Lexical, dense and fused retrieval as joins, aggregations and windows.
 
 Lexical search joins distinct query lexemes with postings on (tenant, lexeme).  The tenant and the
-periods are filtered before anything is ranked.  Ranking uses a two-level top-k: within a hash slice of
-the query's candidates first, then over the slices, so a query whose candidates are a third of all rows
-is ranked by many tasks.
+periods are filtered before anything is ranked, and every task keeps the first k rows of each query, so a
+query whose candidates are a third of all rows is cut down before it is shuffled.
 """
 
 from __future__ import annotations
@@ -19,6 +18,7 @@ from tarnlake.session import prepare
 
 RRF_K = 60
 SLICES = 16
+GROUP_LIMIT = 1000  # the planner's own limit for keeping k rows per group in map tasks
 
 
 def postings(chunks: DataFrame, tokens: Column) -> DataFrame:
@@ -33,12 +33,17 @@ def query_lexemes(queries: DataFrame, tokens: Column) -> DataFrame:
 
 
 def top_k(scored: DataFrame, k: int, group: list[str], order: list[Column], item: str = "chunk_id") -> DataFrame:
-    """First k rows of each group with their rank."""
-    part = F.pmod(F.xxhash64(item), F.lit(SLICES))
-    inner = Window.partitionBy(*group, "part").orderBy(*order)
+    """First k rows of each group with their rank.
+
+    Up to GROUP_LIMIT the planner keeps k rows of each group in every map task (WindowGroupLimit), so a
+    hot group reaches its task as k rows per input task; beyond it groups are ranked in hash slices first.
+    """
     outer = Window.partitionBy(*group).orderBy(*order)
-    kept = scored.withColumn("part", part).withColumn("rank", F.row_number().over(inner)).filter(F.col("rank") <= k).drop("part")
-    return kept.withColumn("rank", F.row_number().over(outer)).filter(F.col("rank") <= k)
+    if k > GROUP_LIMIT:
+        inner = Window.partitionBy(*group, "part").orderBy(*order)
+        part = F.pmod(F.xxhash64(item), F.lit(SLICES))
+        scored = scored.withColumn("part", part).withColumn("rank", F.row_number().over(inner)).filter(F.col("rank") <= k).drop("part")
+    return scored.withColumn("rank", F.row_number().over(outer)).filter(F.col("rank") <= k)
 
 
 def lexical_scores(lexemes: DataFrame, posts: DataFrame) -> DataFrame:

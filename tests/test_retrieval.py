@@ -73,8 +73,13 @@ def test_index_recall_on_test_data(spark, small):
 
 def test_top_k_is_exact_across_slices(spark):
     rows = spark.range(5000).select(F.lit("q").alias("query_id"), F.concat(F.lit("c"), "id").alias("chunk_id"), (F.col("id") % 97).cast("double").alias("score"))
-    got = R.top_k(rows, 60, ["query_id"], [F.desc("score"), F.asc("chunk_id")])
-    want = rows.orderBy(F.desc("score"), "chunk_id").limit(60)
+    for k in (60, 1500):
+        _same_top(rows, k)
+
+
+def _same_top(rows, k):
+    got = R.top_k(rows, k, ["query_id"], [F.desc("score"), F.asc("chunk_id")])
+    want = rows.orderBy(F.desc("score"), "chunk_id").limit(k)
     assert [r.chunk_id for r in got.orderBy("rank").collect()] == [r.chunk_id for r in want.collect()]
 
 

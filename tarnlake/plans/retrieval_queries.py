@@ -34,6 +34,13 @@ def lexical_topk(spark: SparkSession, sf: str) -> DataFrame:
     return _ranked_lexical(spark, sf).select("query_id", "chunk_id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
+def lexical_results(spark: SparkSession, sf: str) -> DataFrame:
+    """First six chunks of each query with title and snippet."""
+    ranked = _ranked_lexical(spark, sf).filter("rank <= 6")
+    shown = current(read(spark, sf, "chunks")).select("tenant_id", "chunk_id", "title", T.snippet(F.col("text")).alias("snippet")).distinct()
+    return ranked.join(shown, ["tenant_id", "chunk_id"]).select("query_id", F.col("rank").cast("bigint").alias("rank"), "chunk_id", "title", "snippet")
+
+
 def lexical_bm25(spark: SparkSession, sf: str) -> DataFrame:
     """Top chunks of each query in its tenant by BM25."""
     return _ranked_lexical(spark, sf, R.bm25_scores).select("query_id", "chunk_id", "score", F.col("rank").cast("bigint").alias("rank"))
@@ -164,7 +171,7 @@ def retrieval_ablation(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict:
     listed = (
-        lexical_topk, lexical_bm25, lexical_stemmed, query_lexemes, langs_by_tenant, dense_topk, dense_approximate, unembedded_queue, rrf_fuse,
+        lexical_topk, lexical_results, lexical_bm25, lexical_stemmed, query_lexemes, langs_by_tenant, dense_topk, dense_approximate, unembedded_queue, rrf_fuse,
         rrf_arm_ranks, rerank_head_tail, ir_by_query, retrieval_ablation,
     )
     return {f.__name__: f for f in listed}
@@ -210,6 +217,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "lexical_topk": _LEX + _TOP,
         "lexical_bm25": _BM + _TOP,
+        "lexical_results": f"""SELECT query_id, rank, chunk_id, title, snippet FROM ({_LEX}{_TOP}) JOIN {_Q} qq USING (query_id) JOIN
+            (SELECT DISTINCT tenant_id, chunk_id, title, CASE WHEN length(trim(text)) > 240 THEN rtrim(substring(trim(text), 1, 240)) || '…' ELSE trim(text) END AS snippet FROM chunks WHERE valid_to IS NULL) USING (tenant_id, chunk_id) WHERE rank <= 6""",
         "query_lexemes": f"SELECT query_id, array_to_string(list_sort(list_distinct({_TOK})), ' | ') AS lexemes FROM (SELECT query_id, any_value(text) AS text FROM eval_queries GROUP BY query_id)",
         "langs_by_tenant": f"SELECT tenant_id, lang, count(DISTINCT doc_id) AS n_docs, {_CONFIG} AS config FROM chunks WHERE valid_to IS NULL AND lang <> '' GROUP BY tenant_id, lang",
         "dense_topk": """

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnlake.functions import text as T
 from tarnlake.functions.binomial import least_sample, lower_tail
+from tarnlake.operators import review
 from tarnlake.operators import risk as R
 from tarnlake.session import checkpointed, read
 
@@ -214,11 +215,42 @@ def overlap_of_claims(spark: SparkSession, sf: str) -> DataFrame:
     return parts.select("query_id", (F.col("pos") + 1).cast("bigint").alias("claim_no"), F.round(T.overlap_score(premise, F.col("claim")), 6).alias("overlap"))
 
 
+def any_evidence_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    """Best overlap of each claim with any chunk that its response retrieved, cited or not."""
+    records = _records(spark, sf)
+    claims = records.select("query_id", F.posexplode("claims").alias("pos", "c")).select("query_id", "pos", F.col("c.text").alias("claim"))
+    chunks = read(spark, sf, "chunks").groupBy("chunk_id").agg(F.min("text").alias("premise"))
+    held = records.select("query_id", F.explode("retrieved").alias("chunk_id")).distinct().join(chunks, "chunk_id")
+    scored = claims.join(held, "query_id", "left").groupBy("query_id", "pos").agg(F.max(T.overlap_score(F.col("premise"), F.col("claim"))).alias("best"))
+    return scored.select("query_id", (F.col("pos") + 1).cast("bigint").alias("claim_no"), F.round("best", 6).alias("best"))
+
+
+def latest_certified(spark: SparkSession, sf: str) -> DataFrame:
+    """Latest certified threshold of every configuration among its trials, taken in their order."""
+    rows = _trials(spark, sf).filter("certified")
+    return rows.groupBy(*KEYS).agg(F.max("trial").cast("bigint").alias("trial"), F.max_by("threshold", "trial").alias("threshold"))
+
+
+def paired_observations(spark: SparkSession, sf: str) -> DataFrame:
+    """Responses on which two variants disagree: answered by one and not by the other at threshold 0.5."""
+    rows = _observed(spark, sf).filter("mode = 'strict'").withColumn("served", F.col("answered") & (F.col("statistic") <= 0.5))
+    a = rows.filter("variant = 'nli'").select("query_id", F.col("served").alias("nli_served"))
+    b = rows.filter("variant = 'overlap'").select("query_id", F.col("served").alias("overlap_served"))
+    return a.join(b, "query_id").groupBy("nli_served", "overlap_served").agg(F.count(F.lit(1)).alias("n"))
+
+
+def split_sides(spark: SparkSession, sf: str) -> DataFrame:
+    """Responses of each category split in order, two fifths to the test side."""
+    rows = review.strided_split(_records(spark, sf).select("query_id", "category"), 0.6, ["category"], ["query_id"])
+    return rows.select("query_id", "category", "is_test")
+
+
 def queries() -> dict:
     listed = (
         *(_policy(m) for m in R.MODES), observations_gold, observations_verifier, assemble_answer, lambda_grid, ltt_bonferroni, ltt_fixed_sequence,
         binomial_tail_table, min_certifiable_n, transfer_test, operating_point, risk_coverage, aurc, risk_at_coverage, auroc_by_kind,
         verifier_confusion, repeated_splits, exceedance, ablation_table, recall_of_records, citation_check, overlap_of_claims,
+        any_evidence_overlap, latest_certified, paired_observations, split_sides,
     )
     return {f.__name__: f for f in listed}
 
@@ -330,6 +362,14 @@ def oracle_sql() -> dict[str, str]:
         "recall_of_records": f"WITH {_R} SELECT category, count(*) AS n, round(avg(coalesce(list_has_any(retrieved_docs, relevant_docs), false)::INT), 6) AS doc_recall, count(evidence_retrieved) AS n_labelled, round(avg(evidence_retrieved::INT), 6) AS evidence_recall FROM r WHERE answerable GROUP BY category",
         "citation_check": f"""WITH {_R} SELECT query_id, claim_no, len(list_distinct(coalesce(cs, []))) AS cited, len(kn) AS known, array_to_string(list_sort(kn), ',') AS kept FROM (
             SELECT c0.query_id, claim_no, c.citations AS cs, list_distinct(list_intersect(coalesce(c.citations, []), coalesce(retrieved, []))) AS kn FROM c0 JOIN r ON r.query_id = c0.query_id)""",
+        "any_evidence_overlap": f"""WITH {_R}, ct AS (SELECT chunk_id, min(text) AS t FROM chunks GROUP BY chunk_id),
+            h AS (SELECT DISTINCT query_id, unnest(retrieved) AS chunk_id FROM r), p AS (SELECT query_id, t FROM h JOIN ct USING (chunk_id)),
+            w AS (SELECT c0.query_id, c0.claim_no, t, {_words('c.text')} AS hw, {_words("coalesce(t, '')")} AS pw FROM c0 LEFT JOIN p ON p.query_id = c0.query_id)
+            SELECT query_id, claim_no, round(max(CASE WHEN len(hw) > 0 AND length(trim(coalesce(t, ''))) > 0 THEN len(list_intersect(hw, pw)) / len(hw)::DOUBLE ELSE 0 END), 6)::DOUBLE AS best FROM w GROUP BY ALL""",
+        "latest_certified": f"WITH {_SPLIT} SELECT {_KEYS}, max(trial) AS trial, arg_max(threshold, trial) AS threshold FROM tr WHERE certified GROUP BY ALL",
+        "paired_observations": f"""WITH {_OBS}, s AS (SELECT query_id, variant, answered AND statistic <= 0.5::DOUBLE AS served FROM o WHERE mode = 'strict')
+            SELECT a.served AS nli_served, b.served AS overlap_served, count(*) AS n FROM s a JOIN s b ON a.query_id = b.query_id AND a.variant = 'nli' AND b.variant = 'overlap' GROUP BY ALL""",
+        "split_sides": f"WITH {_R}, n AS (SELECT query_id, category, row_number() OVER (PARTITION BY category ORDER BY query_id) AS n FROM r) SELECT query_id, category, floor(n * 0.4::DOUBLE + 1e-9) > floor((n - 1) * 0.4::DOUBLE + 1e-9) AS is_test FROM n",
         "overlap_of_claims": f"""WITH {_R}, x AS (SELECT query_id, claim_no, c.text AS claim, unnest(range(1, len(c.citations) + 1)) AS i, c.citations AS cs FROM c0),
             ct AS (SELECT chunk_id, min(text) AS t FROM chunks GROUP BY chunk_id),
             pr AS (SELECT query_id, claim_no, string_agg(t, chr(10) || chr(10) ORDER BY i) AS premise FROM x JOIN ct ON ct.chunk_id = cs[i] GROUP BY ALL),

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnlake.functions import moments, plugins
 from tarnlake.functions import text as T
-from tarnlake.operators import corruption, textops
+from tarnlake.operators import corruption, review, textops
 from tarnlake.session import read, spread
 
 MOST_BYTES = 4000
@@ -204,11 +205,32 @@ def quotes_in_context(spark: SparkSession, sf: str) -> DataFrame:
     return shown.filter(F.col("shown").isNotNull()).distinct()
 
 
+def draft_problems(spark: SparkSession, sf: str) -> DataFrame:
+    """Rules that queries break, by rule."""
+    return review.draft_problems(_queries(spark, sf)).groupBy("problem").agg(F.count(F.lit(1)).alias("n"), F.min("query_id").alias("first_query"))
+
+
+def stale_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents of each tenant whose last submission is more than a year older than the tenant's last."""
+    last = _messages(spark, sf).groupBy("tenant_id", "doc_id").agg(F.max("published_at").alias("at"))
+    newest = last.groupBy("tenant_id").agg(F.max("at").alias("now"))
+    rows = last.join(newest, "tenant_id").filter(moments.is_stale(F.col("at"), F.col("now"), hours=365 * 24))
+    return rows.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n_stale"))
+
+
+def embedded_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Dimension and norm of the hashed vector of every query text."""
+    rows = plugins.embedded(_queries(spark, sf).select("query_id", "tenant_id", "text"))
+    norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
+    return rows.select("query_id", F.size("embedding").alias("dim"), F.round(norm, 6).alias("norm"))
+
+
 def queries() -> dict:
     listed = (
         media_types, content_hashes, titles, tidy_lengths, snippets, suggested_sources, normalised_queries, request_validation, message_validation,
         unknown_fields, label_integrity, evidence_check, query_status, duplicate_ids, on_evidence, chunk_documents, chunk_invariants, answer_sentences,
-        drafted_claims, premise_windows, windowed_overlap, extracted_answers, injected_errors, quotes_in_context,
+        drafted_claims, premise_windows, windowed_overlap, extracted_answers, injected_errors, quotes_in_context, draft_problems, stale_documents,
+        embedded_texts,
     )
     return {f.__name__: f for f in listed}
 
@@ -251,6 +273,16 @@ def oracle_sql() -> dict[str, str]:
             t AS (SELECT DISTINCT tenant_id, doc_id, {_norm('text')} AS body FROM ingest_messages),
             h AS (SELECT query_id, quote, bool_or(coalesce(contains(body, quote), false)) AS held FROM a LEFT JOIN t USING (tenant_id, doc_id) GROUP BY ALL)
             SELECT query_id, count(*) AS quotes, count(*) FILTER (WHERE held) AS found FROM h GROUP BY query_id""",
+        "draft_problems": f"""SELECT problem, count(*) AS n, min(query_id) AS first_query FROM (SELECT DISTINCT query_id, problem FROM (SELECT query_id, unnest([
+            CASE WHEN coalesce(length(trim(text)), 0) = 0 THEN 'no text' END, CASE WHEN length(text) > 400 THEN 'text too long' END, CASE WHEN tenant_id IS NULL THEN 'no tenant' END,
+            CASE WHEN NOT coalesce(status IN ('draft', 'verified', 'rejected'), false) THEN 'unknown status' END,
+            CASE WHEN category <> 'unanswerable' AND coalesce(len(relevant_docs), 0) < 1 THEN 'answerable without documents' END,
+            CASE WHEN category = 'unanswerable' AND coalesce(len(relevant_docs), 0) > 0 THEN 'unanswerable with documents' END,
+            CASE WHEN length(answer) > 0 AND coalesce(len(evidence), 0) < 1 THEN 'answer without evidence' END,
+            CASE WHEN len(list_distinct(relevant_docs)) < len(relevant_docs) THEN 'repeated document' END,
+            CASE WHEN len(list_filter(evidence, lambda e: length(trim(e)) < 10)) > 0 THEN 'short quote' END]) AS problem FROM {_Q}) WHERE problem IS NOT NULL) GROUP BY problem""",
+        "stale_documents": """WITH l AS (SELECT tenant_id, doc_id, max(published_at) AS seen FROM ingest_messages GROUP BY ALL)
+            SELECT tenant_id, count(*) AS n_stale FROM l JOIN (SELECT tenant_id, max(seen) AS now_ FROM l GROUP BY tenant_id) USING (tenant_id) WHERE now_ - seen > INTERVAL 8760 HOURS GROUP BY tenant_id""",
         "query_status": f"SELECT status, category, count(*) AS n, count(answer) AS with_answer FROM {_Q} GROUP BY ALL",
         "duplicate_ids": " UNION ALL ".join(
             f"SELECT '{t}' AS table_name, {k}::VARCHAR AS id, count(*) AS n FROM {t} GROUP BY {k} HAVING count(*) > 1"

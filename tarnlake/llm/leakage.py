@@ -10,7 +10,8 @@ words an unchanged run of six words), so nothing is lost by joining on them:
 2. shingles are ordered by rarity, that is by the number of documents that hold them;
 3. of each item-sized window only the rarest shingles that any sufficient overlap must touch (its
    prefix) are joined; candidates then pass bounds on length and on the places of the shared shingles;
-4. exact containment is verified along the diagonals of the candidate.  At least half of the words of
+4. exact containment is verified along the diagonals of the candidate, with room for words that were
+   split or joined (a mark that slipped into a word, a lost apostrophe).  At least half of the words of
    the stretch that tell this item from others must stand unchanged: where names and figures are all
    different, the text is on the same subject but does not hold the passage.
 
@@ -47,10 +48,7 @@ _LINE_HYPHEN = re.compile(r"(?<=[^\W\d_])[-\u2010]\n\s*(?=[^\W\d_])")
 
 
 def folded_words(text: str) -> list[str]:
-    """Words between white space, without case, accents and punctuation; markup and line-end hyphens aside.
-
-    Punctuation is dropped inside words too, so a full stop that slipped into a word changes nothing.
-    """
+    """Words without case, accents and punctuation; markup and line-end hyphens aside."""
     if _MARKED.search(text):
         kinds = find_kinds(text)
         if kinds:
@@ -60,7 +58,7 @@ def folded_words(text: str) -> list[str]:
     text = text.lower()
     if not text.isascii():
         text = _MARKS.sub("", unicodedata.normalize("NFKD", text)).replace("\u0131", "i").replace("\u00df", "ss")
-    return _NOT_WORD.sub("", text).split()
+    return _NOT_WORD.sub(" ", text).split()
 
 
 class ItemIndex:
@@ -138,36 +136,81 @@ def prefix_shingles(index: ItemIndex, frequency: dict[int, int], share: float =
 
 
 def _told_apart(doc: np.ndarray, item: np.ndarray, telling: np.ndarray) -> bool:
-    mine = telling[item]
-    return 2 * int((doc[mine] == item[mine]).sum()) >= int(mine.sum())
+    """At least half of the stretch's telling words stand in the document's part."""
+    mine = item[telling[item]]
+    return 2 * int(np.isin(mine, doc).sum()) >= len(mine)
 
 
 def best_stretch(doc: np.ndarray, item: np.ndarray, diagonals: np.ndarray, per_change: int = PER_CHANGE) -> tuple[int, int, int, int]:
     """Longest stretch on the given diagonals: (words, changes, place in the document, place in the item).
 
-    On a diagonal a match scores 1 and a change 1 - per_change, so a stretch keeps to one change in
-    per_change words exactly where its sum is not negative; the longest such stretch is found over the
-    running minimum of prefix sums.
+    A word that is split or joined in the document counts as changed and moves the rest to a neighbouring
+    diagonal, so besides each diagonal the best path over the diagonals around it is tried.
     """
     best = (0, 0, 0, 0)
+    n_item, n_doc = len(item), len(doc)
+    for d in diagonals.tolist():
+        lo, hi = max(0, -d), min(n_item, n_doc - d)
+        if hi - lo > best[0]:
+            best = max(best, _longest(doc[lo + d : hi + d] == item[lo:hi], lo, np.arange(lo, hi) + d, per_change), key=lambda x: x[0])
+    band = np.arange(-SHIFT, SHIFT + 1)
     for d in diagonals.tolist():
-        lo, hi = max(0, -d), min(len(item), len(doc) - d)
-        if hi - lo <= best[0]:
+        at = np.arange(n_item)[None, :] + (d + band)[:, None]
+        inside = (at >= 0) & (at < n_doc)
+        same = np.zeros(at.shape, dtype=bool)
+        same[inside] = doc[at[inside]] == np.broadcast_to(item, at.shape)[inside]
+        # no path can hold more words than have a match on some diagonal
+        reached = int(same.any(axis=0).sum())
+        if reached * per_change <= best[0] * (per_change - 1) or same[SHIFT].sum() == reached:
             continue
-        same = doc[lo + d : hi + d] == item[lo:hi]
-        prefix = np.concatenate(([0], np.cumsum(np.where(same, 1, 1 - per_change))))
-        low = np.minimum.accumulate(prefix)
-        # for each end the earliest start whose prefix is no higher
-        start = np.searchsorted(-low, -prefix, side="left")
-        length = np.arange(len(prefix)) - start
-        end = int(length.argmax())
-        n = int(length[end])
-        if n > best[0]:
-            a = end - n
-            best = (n, int(n - same[a:end].sum()), lo + d + a, lo + a)
+        path = _best_path(same)
+        along = same[path, np.arange(n_item)]
+        places = np.clip(at[path, np.arange(n_item)], 0, max(0, n_doc - 1))
+        best = max(best, _longest(along, 0, places, per_change), key=lambda x: x[0])
     return best
 
 
+SHIFT = 2  # words by which a stretch may move off its diagonal
+
+
+def _longest(same: np.ndarray, first: int, places: np.ndarray, per_change: int) -> tuple[int, int, int, int]:
+    """Longest run with at most one change in per_change words: (words, changes, place in the document, place in the item).
+
+    A match scores 1 and a change 1 - per_change, so a run keeps to the bound exactly where its sum is not
+    negative; for each end the earliest start whose prefix sum is no higher gives the longest one.
+    """
+    if not len(same):
+        return (0, 0, 0, 0)
+    prefix = np.concatenate(([0], np.cumsum(np.where(same, 1, 1 - per_change))))
+    low = np.minimum.accumulate(prefix)
+    length = np.arange(len(prefix)) - np.searchsorted(-low, -prefix, side="left")
+    end = int(length.argmax())
+    n = int(length[end])
+    if not n:
+        return (0, 0, 0, 0)
+    a = end - n
+    return (n, int(n - same[a:end].sum()), int(places[a]), first + a)
+
+
+def _best_path(same: np.ndarray) -> np.ndarray:
+    """Diagonal of each item word on the path with most matches; a change of diagonal costs its word."""
+    k, n = same.shape
+    score = np.zeros(k, dtype=np.int64)
+    back = np.empty((n, k), dtype=np.int64)
+    stay = np.arange(k)
+    for i in range(n):
+        top = int(score.argmax())
+        jump = score[top] > score + same[:, i]
+        back[i] = np.where(jump, top, stay)
+        score = np.where(jump, score[top], score + same[:, i])
+    path = np.empty(n, dtype=np.int64)
+    at = int(score.argmax())
+    for i in range(n - 1, -1, -1):
+        path[i] = at
+        at = int(back[i, at])
+    return path
+
+
 def _match_documents(docs: DataFrame, index: ItemIndex) -> DataFrame:
     """Documents that hold a shingle of the block: doc_id, words, places, hashes."""
     shared = docs.sparkSession.sparkContext.broadcast((index.vocabulary, index.distinct))
@@ -241,7 +284,7 @@ def _verify(matched: DataFrame, index: ItemIndex, prefix: set[int], share: float
                     if not len(diagonals):
                         continue
                     n, changes, start, begin = best_stretch(doc, words, diagonals, per_change)
-                    if n >= m and _told_apart(doc[start : start + n], words[begin : begin + n], idx.telling):
+                    if n >= m and _told_apart(doc[max(0, start - SHIFT) : start + n + SHIFT], words[begin : begin + n], idx.telling):
                         rows.append((doc_id, idx.ids[c], n, changes, start, n / len(words)))
             cols = list(zip(*rows, strict=True)) if rows else [()] * 6
             types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]

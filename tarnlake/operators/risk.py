@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tarnlake.functions.binomial import lower_tail
 from tarnlake.functions.running import running
+from tarnlake.session import checkpointed
 
 GRID = 50
 MODES = ("strict", "flagged", "permissive")
@@ -78,17 +79,27 @@ def assembled_answers(records: DataFrame, variant: str, mode: str) -> DataFrame:
     return judged.select("query_id", F.array_join(F.filter(texts, lambda t: F.length(t) > 0), " ").alias("answer"), F.size(texts).alias("n_claims"))
 
 
-def threshold_candidates(obs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Answered and failed responses at every threshold of the grid, in one pass over the data.
+def grid_place(statistic: Column) -> Column:
+    """Place of the first threshold of the grid that the statistic does not pass; null beyond the last.
 
-    ``obs`` may hold several configurations or trials, told apart by ``keys``.
+    The thresholds are the doubles 0.02, 0.04 ... 1.00, and comparisons are exact: the arithmetic guess is
+    off by one at most and is corrected against the thresholds themselves.
     """
+
+    def threshold(i: Column) -> Column:
+        return F.round(i * 0.02, 2)
+
+    guess = F.greatest(F.floor(statistic * GRID), F.lit(1)).cast("int")
+    place = F.when(statistic <= threshold(guess), guess).when(statistic <= threshold(guess + 1), guess + 1).otherwise(guess + 2)
+    return F.when(place <= GRID, place)
+
+
+def _cumulated(per_place: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Candidates from counts per place: keys, place (null: never answered), n_here, bad_here."""
     keys = list(keys)
-    thresholds = F.transform(F.sequence(F.lit(1), F.lit(GRID)), lambda i: F.round(i * 0.02, 2))
-    first = F.when(F.col("answered"), F.array_position(F.transform(thresholds, lambda t: F.col("statistic") <= t), F.lit(True)))
-    per_place = obs.groupBy(*keys, first.alias("place")).agg(F.count(F.lit(1)).alias("n_here"), F.count_if("loss").alias("bad_here"))
     totals = per_place.groupBy(*keys).agg(F.sum("n_here").alias("n"))
-    full = totals.withColumn("point", F.explode(F.transform(F.sequence(F.lit(1), F.lit(GRID)), lambda i: F.struct(i.alias("place"), F.round(i * 0.02, 2).alias("lambda"))))).select(*keys, "n", "point.*")
+    points = F.transform(F.sequence(F.lit(1), F.lit(GRID)), lambda i: F.struct(i.alias("place"), F.round(i * 0.02, 2).alias("lambda")))
+    full = totals.withColumn("point", F.explode(points)).select(*keys, "n", "point.*")
     joined = full.join(per_place.filter(F.col("place") > 0), [*keys, "place"], "left")
     w = Window.partitionBy(*keys).orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return joined.select(
@@ -101,6 +112,16 @@ def threshold_candidates(obs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def threshold_candidates(obs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Answered and failed responses at every threshold of the grid, in one pass over the data.
+
+    ``obs`` may hold several configurations, told apart by ``keys``.
+    """
+    place = F.when(F.col("answered"), grid_place(F.col("statistic")))
+    per_place = obs.groupBy(*keys, place.alias("place")).agg(F.count(F.lit(1)).alias("n_here"), F.count_if("loss").alias("bad_here"))
+    return _cumulated(per_place, keys)
+
+
 def with_p_values(candidates: DataFrame, alpha: float) -> DataFrame:
     """Adds the binomial p-value of the hypothesis that the risk exceeds alpha."""
     return candidates.withColumn("p_value", lower_tail(F.col("failures"), F.col("answered"), F.lit(alpha)))
@@ -179,25 +200,24 @@ def auroc(scored: DataFrame, keys: Sequence[str], score: str = "score", positive
     return sums.select(*keys, F.col("p").alias("n_clean"), F.col("q").alias("n_corrupted"), F.when((F.col("p") > 0) & (F.col("q") > 0), (F.col("rank_sum") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("q"))).alias("auroc"))
 
 
-def random_splits(obs: DataFrame, trials: int, fraction: float = 0.6) -> DataFrame:
-    """Each response once per trial, on the calibration side with probability ``fraction``.
+def repeated_trials(obs: DataFrame, trials: int, alpha: float, delta: float, keys: Sequence[str] = (), fraction: float = 0.6) -> DataFrame:
+    """Random splits: certify on one side, measure on the other; one row per key and trial.
 
-    Sides come from a hash of trial and id, so they need no sort and no driver-side table; the trials
-    multiply rows in the map task that feeds the aggregation.
+    A response is on the calibration side of a trial where a hash of trial and id says so, so no sort and
+    no table of splits is needed, and the hash is taken once for all configurations of a response.  All
+    that is shuffled are counts per trial, side and grid place, which both sides then share.
     """
-    rows = obs.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
+    keys = list(keys)
+    config = F.struct(*keys, F.when(F.col("answered"), grid_place(F.col("statistic"))).alias("place"), "loss")
+    nested = obs.groupBy("query_id").agg(F.collect_list(config).alias("configs"))
+    drawn = nested.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
     draw = F.conv(F.substring(F.sha2(F.concat(F.col("trial").cast("string"), F.lit(":"), F.col("query_id")), 256), 1, 8), 16, 10).cast("double") / float(2**32)
-    return rows.withColumn("is_calibration", draw < fraction)
-
-
-def repeated_trials(obs: DataFrame, trials: int, alpha: float, delta: float, keys: Sequence[str] = ()) -> DataFrame:
-    """Certify on one side, measure on the other: one row per key and trial."""
+    rows = drawn.select("trial", (draw < fraction).alias("is_calibration"), F.explode("configs").alias("c")).select("trial", "is_calibration", "c.*")
     keys = [*keys, "trial"]
-    rows = random_splits(obs, trials)
-    chosen = select_threshold(threshold_candidates(rows.filter("is_calibration"), keys), alpha, delta, keys)
-    counts = threshold_candidates(rows.filter(~F.col("is_calibration")), keys)
-    test = counts.join(chosen.select(*keys, "certified", F.col("threshold").alias("lambda")), [*keys, "lambda"], "right")
-    total = rows.filter(~F.col("is_calibration")).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_test"))
+    counts = checkpointed(rows.groupBy(*keys, "is_calibration", "place").agg(F.count(F.lit(1)).alias("n_here"), F.count_if("loss").alias("bad_here")))
+    chosen = select_threshold(_cumulated(counts.filter("is_calibration"), keys), alpha, delta, keys)
+    test = _cumulated(counts.filter(~F.col("is_calibration")), keys).join(chosen.select(*keys, "certified", F.col("threshold").alias("lambda")), [*keys, "lambda"], "right")
+    total = counts.filter(~F.col("is_calibration")).groupBy(*keys).agg(F.sum("n_here").alias("n_test"))
     return test.join(total, keys).select(
         *keys,
         "certified",

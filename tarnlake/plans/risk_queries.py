@@ -9,7 +9,7 @@ from tarnlake.functions import text as T
 from tarnlake.functions.binomial import least_sample, lower_tail
 from tarnlake.operators import review
 from tarnlake.operators import risk as R
-from tarnlake.session import checkpointed, read
+from tarnlake.session import read
 
 VARIANTS = ("nli", "overlap")
 ALPHA, DELTA, TRIALS = 0.3, 0.05, 100
@@ -158,7 +158,7 @@ def verifier_confusion(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _trials(spark: SparkSession, sf: str) -> DataFrame:
-    obs = checkpointed(_observed(spark, sf).select(*KEYS, "query_id", "statistic", "loss", "answered"))
+    obs = _observed(spark, sf).select(*KEYS, "query_id", "statistic", "loss", "answered")
     return R.repeated_trials(obs, TRIALS, ALPHA, DELTA, KEYS)
 
 

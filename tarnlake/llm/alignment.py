@@ -140,16 +140,18 @@ def train_translations(confident: DataFrame, rounds: int = ROUNDS, keep: float =
     )
     counts = counts.groupBy("e", "f").agg(F.sum("c").alias("c"))
     for turn in range(rounds):
-        by_f = Window.partitionBy("f")
-        table = counts.withColumn("t", F.col("c") / F.sum("c").over(by_f)).filter(F.col("t") > (keep / 4 if turn == 0 else keep / 8)).select("e", "f", "t")
+        # totals by aggregation and join, not by a window: a frequent word may meet the whole vocabulary
+        totals = counts.groupBy("f").agg(F.sum("c").alias("c_f"))
+        table = counts.join(totals, "f").select("e", "f", (F.col("c") / F.col("c_f")).alias("t")).filter(F.col("t") > (keep / 4 if turn == 0 else keep / 8))
         if turn == rounds - 1:
             break
         joined = links.join(table, ["e", "f"])
         per_word = Window.partitionBy("pair", "e")
         counts = joined.withColumn("c", F.col("n") * F.col("t") / F.sum("t").over(per_word)).groupBy("e", "f").agg(F.sum("c").alias("c"))
         counts = checkpointed(counts)
-    total_e, total_f = Window.partitionBy("e"), Window.partitionBy("f")
-    both = counts.withColumn("p", F.sqrt(F.col("c") / F.sum("c").over(total_e) * F.col("c") / F.sum("c").over(total_f)))
+    total_e = counts.groupBy("e").agg(F.sum("c").alias("c_e"))
+    total_f = counts.groupBy("f").agg(F.sum("c").alias("c_f"))
+    both = counts.join(total_e, "e").join(total_f, "f").withColumn("p", F.col("c") / F.sqrt(F.col("c_e") * F.col("c_f")))
     return both.filter(F.col("p") > keep).select("e", "f", "p")
 
 

@@ -392,7 +392,7 @@ def detect_languages(rows: DataFrame, model: np.ndarray, judge_prose: bool = Fal
     spark = rows.sparkSession
     prepare(spark)
     shared = spark.sparkContext.broadcast(model)  # fixed size: BUCKETS x languages x 4 bytes, 4 MB
-    kept = [c for c in rows.columns if c != "text"]
+    kept = [c for c in rows.columns if c not in ("text", "seg_no", "detected", "confidence", "kind")]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

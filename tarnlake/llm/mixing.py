@@ -44,8 +44,8 @@ def _encoder(path: str):  # noqa: ANN202
 def count_tokens(docs: DataFrame, text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
     """Every row without its text, with a column tokens."""
     prepare(docs.sparkSession)
-    kept = [c for c in docs.columns if c != text]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != text)
+    kept = [c for c in docs.columns if c not in (text, "tokens")]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(tokenizer).encode_ordinary
@@ -65,7 +65,8 @@ def mixture_plan(totals: DataFrame, targets: DataFrame) -> DataFrame:
 
     The mix is to be as large as all documents of all sources.  ``totals`` has a row per source.
     """
-    wanted = targets.filter(F.col("mix_id").isNotNull() & F.col("source").isNotNull() & F.col("target_share").isNotNull()).distinct()
+    wanted = targets.filter(F.col("mix_id").isNotNull() & F.col("source").isNotNull() & F.col("target_share").isNotNull())
+    wanted = wanted.select("mix_id", "source", "target_share", "max_repeats").distinct()
     one = F.lit(1).alias("one")
     size = totals.agg(F.coalesce(F.sum("supply"), F.lit(0)).alias("mix_tokens")).select("mix_tokens", one)
     plan = wanted.join(totals, "source", "left").select("*", one).join(size, "one")  # a single row on the right

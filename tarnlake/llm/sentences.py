@@ -423,8 +423,8 @@ def sentence_units(rows: DataFrame, text: str = "text") -> DataFrame:
     """One row per sentence: the other columns of ``rows`` with start_pos and end_pos."""
     spark = rows.sparkSession
     prepare(spark)
-    kept = [c for c in rows.columns if c != text]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != text)
+    kept = [c for c in rows.columns if c not in (text, "start_pos", "end_pos")]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in kept)
     shared = spark.sparkContext.broadcast((*compile_transducer(), symbols()[1]))  # fixed by the rules, under 2 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

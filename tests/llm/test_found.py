@@ -26,3 +26,20 @@ def test_query(spark, small, name):
     n = df.count()
     if name in COLUMNS:
         assert df.columns == COLUMNS[name] and n > 0 and df.distinct().count() == n
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="test data absent")
+@pytest.mark.parametrize("kind", ["empty", "nulls"])
+def test_queries_on_edge_tables(spark, small, tmp_path, kind):
+    from edge_data import build
+
+    folder = build(small, tmp_path / kind, kind)
+    failed = {}
+    for name, query in queries.queries().items():
+        try:
+            rows = query(spark, folder).collect()
+            if kind == "empty" and rows:
+                failed[name] = f"{len(rows)} rows from nothing"
+        except Exception as e:  # noqa: BLE001  all failures are reported together
+            failed[name] = str(e)[:300]
+    assert not failed

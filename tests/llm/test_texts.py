@@ -310,3 +310,13 @@ def test_positions_invert_the_schedule(spark):
     got = df.select("f", mixing.position_of(F.col("f") * 7, F.lit(7.0), F.lit(0.2), F.lit(0.6)).alias("t"), mixing.position_of(F.col("f"), F.lit(1.0), F.lit(0.3), F.lit(0.3)).alias("flat")).collect()
     assert all(0.2 * r.t + 0.2 * r.t**2 == pytest.approx(0.4 * r.f, abs=1e-9) for r in got)
     assert all(r.flat == pytest.approx(r.f) for r in got)
+
+
+def test_clashing_columns(spark, model):
+    df = spark.createDataFrame([("m", "1", "tr", TR)], "src string, item_id string, lang string, text string")
+    noisy = df.withColumns({c: F.lit("x") for c in ("seg_no", "detected", "confidence", "kind", "start_pos", "end_pos", "tokens", "supply")})
+    assert language.detect_languages(noisy, model).first().detected == "tr"
+    assert sentences.sentence_units(noisy).first().start_pos == 0
+    assert mixing.count_tokens(noisy.withColumn("source", F.lit("s"))).first().tokens > 0
+    targets = spark.createDataFrame([("m", "s", 1.0, 2)], "mix_id string, source string, target_share double, max_repeats int").withColumn("supply", F.lit("x"))
+    assert mixing.mixture_plan(spark.createDataFrame([("s", 10, 1)], "source string, supply long, n_docs long"), targets).first().supply == 10

@@ -51,7 +51,8 @@ def admitted(requests: DataFrame, rate: float = 10.0, burst: float = 20.0, most:
     """tenant, seq, t (seconds), event (acquire or release) -> the verdict on each acquire.
 
     A tenant starts with a full bucket; tokens come back with time up to the burst; the concurrency
-    cap is tested before a token is taken, so a refusal for concurrency costs none.
+    cap is tested before a token is taken, so a refusal for concurrency costs none.  Rows without a time
+    are void.
     """
 
     def start(_: tuple) -> _Bucket:
@@ -60,6 +61,8 @@ def admitted(requests: DataFrame, rate: float = 10.0, burst: float = 20.0, most:
     def step(b: object, row: tuple) -> Iterator[tuple]:
         tenant, seq, t, event = row
         assert isinstance(b, _Bucket)
+        if t is None:
+            return
         if t > b.at:
             b.tokens = burst if b.at == float("-inf") else min(burst, b.tokens + (t - b.at) * rate)
             b.at = t

@@ -74,9 +74,14 @@ def reciprocal_rank_fusion(ranked: DataFrame, group: str = "query_id", item: str
 
 
 def rank_arms(scores: DataFrame, arms: list[str]) -> DataFrame:
-    """Rank of each item within each arm; arms that return nothing have no row."""
+    """Rank of each item within each arm: query_id, arm, chunk_id, score, rank.
+
+    Arms that return nothing have no row; of several scores of one item in one arm the highest counts.
+    """
+    usable = F.col("arm").isin(arms) & F.col("score").isNotNull() & F.col("query_id").isNotNull() & F.col("chunk_id").isNotNull()
+    best = scores.filter(usable).groupBy("query_id", "arm", "chunk_id").agg(F.max("score").alias("score"))
     w = Window.partitionBy("query_id", "arm").orderBy(F.desc("score"), "chunk_id")
-    return scores.filter(F.col("arm").isin(arms) & F.col("score").isNotNull()).withColumn("rank", F.row_number().over(w))
+    return best.withColumn("rank", F.row_number().over(w))
 
 
 def rerank(fused: DataFrame, model: DataFrame, head: int = 32, cut: int = 6) -> DataFrame:
@@ -100,17 +105,27 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.array(lists, dtype=np.float64) if lists else np.zeros((0, 0))
 
 
+def _usable(vectors: DataFrame, key: str) -> DataFrame:
+    """Rows with an id and a vector without gaps."""
+    whole = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & ~F.exists("embedding", lambda x: x.isNull())
+    return vectors.filter(F.col(key).isNotNull() & whole).select(F.col(key).cast("bigint").alias(key), "embedding")
+
+
+def _nothing(df: DataFrame) -> DataFrame:
+    return df.sparkSession.createDataFrame([], "query_id bigint, item_id bigint, score double")
+
+
 def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 2048) -> DataFrame:
     """Exact nearest vectors by cosine: query_id, item_id, score.
 
     ``vectors``: item_id, embedding.  ``queries``: query_id, embedding; a stated set that is read in
     blocks of at most ``block`` rows, each sent to all tasks (at most block x dimension x 8 bytes).
     Every task keeps the k best of its batch per query, so only k rows per query and task are shuffled.
-    Null embeddings are left out; a query never meets the item of its own id.
+    Rows without an id or with a null in their vector are left out; a query never meets the item of its own id.
     """
     spark = vectors.sparkSession
     prepare(spark)
-    items = vectors.filter(F.col("embedding").isNotNull()).select(F.col("item_id").cast("bigint").alias("item_id"), "embedding")
+    items = _usable(vectors, "item_id")
     result: DataFrame | None = None
     ids: list[int] = []
     rows: list[list[float]] = []
@@ -135,8 +150,7 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int
 
         return items.mapInArrow(run, "query_id bigint, item_id bigint, score double")
 
-    wanted = queries.filter(F.col("embedding").isNotNull()).select(F.col("query_id").cast("bigint").alias("query_id"), "embedding")
-    for row in wanted.sort("query_id").toLocalIterator():
+    for row in _usable(queries, "query_id").sort("query_id").toLocalIterator():
         ids.append(row["query_id"])
         rows.append(list(row["embedding"]))
         if len(ids) >= block:
@@ -144,7 +158,7 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int
             result = part if result is None else result.unionByName(part)
             ids, rows = [], []
     if ids or result is None:
-        part = one_block(ids, rows) if ids else items.select(F.col("item_id").alias("query_id"), "item_id", F.lit(0.0).alias("score")).limit(0)
+        part = one_block(ids, rows) if ids else _nothing(vectors)
         result = part if result is None else result.unionByName(part)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
     return result.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
@@ -159,7 +173,9 @@ class VectorCells:
     @classmethod
     def fit(cls, vectors: DataFrame, cells: int = 16, sample: int = 20_000, rounds: int = 12) -> VectorCells:
         """Spherical k-means over at most ``sample`` rows drawn by a hash of the id."""
-        rows = vectors.filter(F.col("embedding").isNotNull()).orderBy(F.xxhash64("item_id")).limit(sample).select("embedding").collect()
+        rows = _usable(vectors, "item_id").orderBy(F.xxhash64("item_id")).limit(sample).select("embedding").collect()
+        if not rows:
+            return cls(np.zeros((1, 0)))
         data = _unit(np.array([r["embedding"] for r in rows], dtype=np.float64))
         centre = data[:: max(1, len(data) // cells)][:cells].copy()
         for _ in range(rounds):
@@ -174,7 +190,7 @@ class VectorCells:
         """Like dense_top_k, but each query meets only the ``probes`` cells nearest to it."""
         spark = vectors.sparkSession
         prepare(spark)
-        rows = queries.select("query_id", "embedding").sort("query_id")
+        rows = _usable(queries, "query_id").sort("query_id")
         result: DataFrame | None = None
         taken: list = []
 
@@ -207,8 +223,7 @@ class VectorCells:
                     cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["query_id", "item_id", "score"])
 
-            items = vectors.filter(F.col("embedding").isNotNull()).select(F.col("item_id").cast("bigint").alias("item_id"), "embedding")
-            return items.mapInArrow(run, "query_id bigint, item_id bigint, score double")
+            return _usable(vectors, "item_id").mapInArrow(run, "query_id bigint, item_id bigint, score double")
 
         for row in rows.toLocalIterator():
             taken.append(row)
@@ -219,6 +234,8 @@ class VectorCells:
         if taken:
             part = one_block(taken)
             result = part if result is None else result.unionByName(part)
+        if result is None:
+            result = _nothing(vectors)
         w = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
         return result.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

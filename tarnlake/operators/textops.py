@@ -81,7 +81,7 @@ def chunked(rows: DataFrame, text: str = "text", target: str | None = None, over
     """
     prepare(rows.sparkSession)
     limits = [c for c in (target, overlap, least) if c]
-    kept = [c for c in rows.columns if c != text and c not in limits]
+    kept = [c for c in rows.columns if c not in (text, *limits, "ordinal", "chunk", "span_start", "span_end")]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

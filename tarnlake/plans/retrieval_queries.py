@@ -108,9 +108,9 @@ def rrf_fuse(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rrf_arm_ranks(spark: SparkSession, sf: str) -> DataFrame:
-    """Rank of each fused chunk in each arm."""
+    """Rank of each fused chunk in each arm, 0 where the arm did not return it."""
     ranks = R.reciprocal_rank_fusion(_arms(spark, sf))
-    return ranks.select("query_id", "chunk_id", *[F.try_element_at("ranks", F.lit(a)).cast("bigint").alias(f"{a}_rank") for a in ARMS])
+    return ranks.select("query_id", "chunk_id", *[F.coalesce(F.try_element_at("ranks", F.lit(a)).cast("bigint"), F.lit(0)).alias(f"{a}_rank") for a in ARMS])
 
 
 def _reranked(spark: SparkSession, sf: str) -> DataFrame:
@@ -228,7 +228,7 @@ def oracle_sql() -> dict[str, str]:
                 FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0) WHERE rank <= 10""",
         "unembedded_queue": "SELECT source, min(doc_id) AS next_doc, count(*) AS \"left\" FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings) GROUP BY source",
         "rrf_fuse": f"WITH {_ARM}, {_FUSED} SELECT query_id, chunk_id, score FROM f",
-        "rrf_arm_ranks": f"WITH {_ARM} SELECT query_id, chunk_id, max(CASE WHEN arm = 'lexical' THEN rank END) AS lexical_rank, max(CASE WHEN arm = 'dense' THEN rank END) AS dense_rank FROM a GROUP BY query_id, chunk_id",
+        "rrf_arm_ranks": f"WITH {_ARM} SELECT query_id, chunk_id, coalesce(max(CASE WHEN arm = 'lexical' THEN rank END), 0) AS lexical_rank, coalesce(max(CASE WHEN arm = 'dense' THEN rank END), 0) AS dense_rank FROM a GROUP BY query_id, chunk_id",
         "rerank_head_tail": f"""
             WITH {_ARM}, {_FUSED},
             m AS (SELECT DISTINCT query_id, chunk_id, score AS ms FROM ranked_chunks WHERE arm = 'rerank' AND score IS NOT NULL),

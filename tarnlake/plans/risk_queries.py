@@ -178,7 +178,7 @@ def ablation_table(spark: SparkSession, sf: str) -> DataFrame:
     """Operating points of all expected configurations; those without records say so."""
     expected = spark.createDataFrame([(v, m) for v in (*VARIANTS, "logit", "nli-window") for m in R.MODES], "variant string, mode string")
     have = operating_point(spark, sf)
-    return expected.join(have, KEYS, "left").select(*KEYS, F.when(F.col("n").isNull(), "not run").otherwise("run").alias("state"), "n", "answer_rate", "risk")
+    return expected.join(have, KEYS, "left").select(*KEYS, F.when(F.col("n").isNull(), "not run").otherwise("run").alias("state"), F.coalesce("n", F.lit(0)).alias("n"), "answer_rate", "risk")
 
 
 def recall_of_records(spark: SparkSession, sf: str) -> DataFrame:
@@ -358,7 +358,7 @@ def oracle_sql() -> dict[str, str]:
             round(avg(CASE WHEN certified AND answered > 0 THEN failures / answered END), 6) AS mean_risk,
             round(avg(CASE WHEN certified THEN answered ELSE 0 END / n_test), 6) AS answer_rate FROM tr GROUP BY ALL""",
         "ablation_table": f"""WITH {_OBS}, p AS ({_POINT}), e AS (SELECT * FROM (SELECT unnest(['nli', 'overlap', 'logit', 'nli-window']) AS variant), (SELECT unnest(['strict', 'flagged', 'permissive']) AS mode))
-            SELECT e.variant, e.mode, CASE WHEN n IS NULL THEN 'not run' ELSE 'run' END AS state, n, round(answer_rate, 6) AS answer_rate, round(risk, 6) AS risk FROM e LEFT JOIN p ON p.variant = e.variant AND p.mode = e.mode""",
+            SELECT e.variant, e.mode, CASE WHEN n IS NULL THEN 'not run' ELSE 'run' END AS state, coalesce(n, 0) AS n, round(answer_rate, 6) AS answer_rate, round(risk, 6) AS risk FROM e LEFT JOIN p ON p.variant = e.variant AND p.mode = e.mode""",
         "recall_of_records": f"WITH {_R} SELECT category, count(*) AS n, round(avg(coalesce(list_has_any(retrieved_docs, relevant_docs), false)::INT), 6) AS doc_recall, count(evidence_retrieved) AS n_labelled, round(avg(evidence_retrieved::INT), 6) AS evidence_recall FROM r WHERE answerable GROUP BY category",
         "citation_check": f"""WITH {_R} SELECT query_id, claim_no, len(list_distinct(coalesce(cs, []))) AS cited, len(kn) AS known, array_to_string(list_sort(kn), ',') AS kept FROM (
             SELECT c0.query_id, claim_no, c.citations AS cs, list_distinct(list_intersect(coalesce(c.citations, []), coalesce(retrieved, []))) AS kn FROM c0 JOIN r ON r.query_id = c0.query_id)""",

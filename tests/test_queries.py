@@ -50,3 +50,18 @@ def test_core_does_not_import_the_text_problems():
     for path in (Path(entry.__file__).parent / "tarnlake").rglob("*.py"):
         if "llm" not in path.parts:
             assert "tarnlake.llm" not in path.read_text(), path
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="test data absent")
+@pytest.mark.parametrize("kind", ["empty", "nulls"])
+def test_core_queries_on_edge_tables(spark, small, tmp_path, kind):
+    from edge_data import build
+
+    folder = build(small, tmp_path / kind, kind)
+    failed = {}
+    for name in CORE:
+        try:
+            entry.queries()[name](spark, folder).collect()
+        except Exception as e:  # noqa: BLE001  all failures are reported together
+            failed[name] = str(e)[:300]
+    assert not failed

@@ -184,7 +184,8 @@ def score_matrix(
     wl, wr = weights(lw, best_l), weights(rw, best_r)
     cover_l, cover_r = np.zeros((len(left), len(right))), np.zeros((len(left), len(right)))
     for i, (words_i, fig_i) in enumerate(lw):
-        total_i = sum(wl[w] for w in words_i) + 1.5 * sum(wl[w] for w in fig_i)
+        lexical_i = sum(wl[w] for w in words_i)
+        total_i = lexical_i + 1.5 * sum(wl[w] for w in fig_i)
         for j, (words_j, fig_j) in enumerate(rw):
             reached: dict[str, float] = {}
             got = 0.0
@@ -199,12 +200,14 @@ def score_matrix(
                 if top:
                     got += wl[w] * min(1.0, 1.4 * top / best_l.get(w, 1.0))
             same = fig_i & fig_j
+            # equal figures alone may be chance: without words to bear them out they count half
+            bare = 0.5 if lexical_i and got < 0.2 * lexical_i else 1.0
             got += 1.5 * sum(wl[w] for w in same)
-            cover_l[i, j] = got / total_i if total_i else 0.0
+            cover_l[i, j] = bare * got / total_i if total_i else 0.0
             total_j = sum(wr[v] for v in words_j) + 1.5 * sum(wr[v] for v in fig_j)
             back = sum(wr[v] * min(1.0, 1.4 * p / best_r.get(v, 1.0)) for v, p in reached.items() if p > 0)
             back += 1.5 * sum(wr[v] for v in same)
-            cover_r[i, j] = back / total_j if total_j else 0.0
+            cover_r[i, j] = bare * back / total_j if total_j else 0.0
     return cover_l, cover_r
 
 

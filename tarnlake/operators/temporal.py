@@ -65,10 +65,11 @@ def as_of_join(probes: DataFrame, versions: DataFrame, moment: str, keys: Sequen
 def first_delivery(messages: DataFrame, job: str = "job_id") -> DataFrame:
     """One row per submission: re-deliveries differ in receipt only, so the earliest stands for all.
 
-    Deduplicated by the submission's id with partial aggregation before the shuffle.
+    Deduplicated by the submission's id with partial aggregation before the shuffle; give hashes of long
+    texts instead of the texts, so that the shuffle stays small.
     """
-    others = [c for c in messages.columns if c not in (job, "received_at", "attempts", "text")]
-    return messages.groupBy(job).agg(*[F.first(c).alias(c) for c in others], F.first("text").alias("text"), F.min("received_at").alias("received_at"), F.max("attempts").alias("attempts"))
+    others = [c for c in messages.columns if c not in (job, "received_at", "attempts")]
+    return messages.groupBy(job).agg(*[F.first(c).alias(c) for c in others], F.min("received_at").alias("received_at"), F.max("attempts").alias("attempts"))
 
 
 def linear_outcomes(submissions: DataFrame) -> DataFrame:

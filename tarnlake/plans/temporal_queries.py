@@ -23,8 +23,8 @@ def _shown(column: str):  # noqa: ANN202
 
 
 def _submissions(spark: SparkSession, sf: str) -> DataFrame:
-    columns = ["job_id", "tenant_id", "doc_id", "valid_from", "correction", "published_at", "received_at", "attempts", "text"]
-    return temporal.first_delivery(read(spark, sf, "ingest_messages").select(columns))
+    columns = ["job_id", "tenant_id", "doc_id", "valid_from", "correction", "published_at", "received_at", "attempts"]
+    return temporal.first_delivery(read(spark, sf, "ingest_messages").select(*columns, F.sha2("text", 256).alias("content_hash")))
 
 
 def as_of_snapshot(spark: SparkSession, sf: str) -> DataFrame:
@@ -81,8 +81,7 @@ def retire_close(spark: SparkSession, sf: str) -> DataFrame:
 
 def change_detection(spark: SparkSession, sf: str) -> DataFrame:
     """Outcome of each submission in a linear history, by content hash."""
-    rows = _submissions(spark, sf).withColumn("content_hash", F.sha2("text", 256))
-    return temporal.linear_outcomes(rows).select("job_id", "tenant_id", "doc_id", "outcome")
+    return temporal.linear_outcomes(_submissions(spark, sf)).select("job_id", "tenant_id", "doc_id", "outcome")
 
 
 def corpus_event_log(spark: SparkSession, sf: str) -> DataFrame:
@@ -120,7 +119,7 @@ def ingest_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     """Strict ingestion of all submissions: outcomes by tenant."""
     rows = _submissions(spark, sf).select(
         "tenant_id", "doc_id", "job_id", F.unix_micros(F.col("published_at").cast("timestamp")).alias("published"),
-        F.unix_micros(F.col("valid_from").cast("timestamp")).alias("valid_from"), "correction", F.sha2("text", 256).alias("content_hash"),
+        F.unix_micros(F.col("valid_from").cast("timestamp")).alias("valid_from"), "correction", "content_hash",
     )
     return temporal.ingest(rows).groupBy("tenant_id", "outcome").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("valid_to").isNotNull()).alias("closed"))
 

@@ -22,12 +22,13 @@ MODES = ("strict", "flagged", "permissive")
 SUPPORT = 0.5
 
 
-def judged_claims(records: DataFrame, variant: str, mode: str, support: float = SUPPORT) -> DataFrame:
-    """Each response with its claims' support and action under a mode.
+def _claims_of(records: DataFrame) -> Column:
+    """The claims column, an empty array where it is null."""
+    return F.coalesce("claims", F.array().cast(records.schema["claims"].dataType))
 
-    A claim is supported where its score reaches ``support``; a missing score counts as 0.  Supported
-    claims are kept; others are removed (strict), flagged or kept (permissive).
-    """
+
+def _judged(claims: Column, variant: str, mode: str, support: float) -> Column:
+    """Claims with score and action under a mode."""
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}")
     other = {"strict": "removed", "flagged": "flagged", "permissive": "kept"}[mode]
@@ -44,32 +45,46 @@ def judged_claims(records: DataFrame, variant: str, mode: str, support: float =
             F.coalesce(claim["kind"], F.lit("")).alias("kind"),
         )
 
-    return records.withColumn("claims", F.transform(F.coalesce("claims", F.array().cast(records.schema["claims"].dataType)), judge))
+    return F.transform(claims, judge)
+
+
+def judged_claims(records: DataFrame, variant: str, mode: str, support: float = SUPPORT) -> DataFrame:
+    """Each response with its claims' score and action under a mode.
+
+    A claim is supported where its score reaches ``support``; a missing score counts as 0.  Supported
+    claims are kept; others are removed (strict), flagged or kept (permissive).
+    """
+    return records.withColumn("claims", _judged(_claims_of(records), variant, mode, support))
+
+
+def _observed(claims: Column, variant: str, mode: str, loss: str, support: float) -> Column:
+    """statistic, loss, answered and useful of a response as a struct."""
+    left = F.filter(_judged(claims, variant, mode, support), lambda c: c["action"] != "removed")
+    answered = F.size(left) > 0
+    statistic = F.when(answered, 1.0 - F.array_min(F.transform(left, lambda c: c["score"]))).otherwise(1.0)
+    lossy = F.exists(left, lambda c: c["corrupted"]) if loss == "gold" else F.exists(left, lambda c: c["score"] < support)
+    useful = F.exists(left, lambda c: c["on_evidence"] & ~c["corrupted"])
+    return F.struct(statistic.alias("statistic"), (answered & lossy).alias("loss"), answered.alias("answered"), useful.alias("useful"))
 
 
 def observations(records: DataFrame, variant: str, mode: str, loss: str = "gold", support: float = SUPPORT) -> DataFrame:
-    """One row per response: statistic, loss, answered, useful, answerable.
+    """One row per response: statistic, loss, answered, useful, answerable, category.
 
     The statistic is one minus the least score of the claims that are not removed; a response without
     such claims is unanswered, with statistic 1 and no loss.  The gold loss is a corrupted claim among
     them, the verifier loss an unsupported one.
     """
-    judged = judged_claims(records, variant, mode, support)
-    left = F.filter("claims", lambda c: c["action"] != "removed")
-    judged = judged.withColumn("left", left)
-    answered = F.size("left") > 0
-    statistic = F.when(answered, 1.0 - F.array_min(F.transform("left", lambda c: c["score"]))).otherwise(1.0)
-    lossy = F.exists("left", lambda c: c["corrupted"]) if loss == "gold" else F.exists("left", lambda c: c["score"] < support)
-    useful = F.exists("left", lambda c: c["on_evidence"] & ~c["corrupted"])
-    return judged.select(
-        "query_id",
-        statistic.alias("statistic"),
-        (answered & lossy).alias("loss"),
-        answered.alias("answered"),
-        useful.alias("useful"),
-        F.coalesce("answerable", F.lit(False)).alias("answerable"),
-        "category",
-    )
+    return observed_configurations(records, [variant], [mode], loss, support).drop("variant", "mode")
+
+
+def observed_configurations(records: DataFrame, variants: Sequence[str], modes: Sequence[str], loss: str = "gold", support: float = SUPPORT) -> DataFrame:
+    """The same for all configurations in one pass over the records: with variant and mode."""
+    claims = _claims_of(records)
+    each = [
+        F.struct(F.lit(v).alias("variant"), F.lit(m).alias("mode"), _observed(claims, v, m, loss, support).alias("o")) for v in variants for m in modes
+    ]
+    rows = records.select("query_id", "category", F.coalesce("answerable", F.lit(False)).alias("answerable"), F.explode(F.array(*each)).alias("c"))
+    return rows.select("query_id", "c.variant", "c.mode", "c.o.*", "answerable", "category")
 
 
 def assembled_answers(records: DataFrame, variant: str, mode: str) -> DataFrame:

@@ -24,21 +24,12 @@ def _records(spark: SparkSession, sf: str) -> DataFrame:
 def _observed(spark: SparkSession, sf: str) -> DataFrame:
     """Observations of every configuration: variant and mode."""
     records = _records(spark, sf).select("query_id", "claims", "answerable", "category")
-    result: DataFrame | None = None
-    for variant in VARIANTS:
-        for mode in R.MODES:
-            part = R.observations(records, variant, mode).withColumns({"variant": F.lit(variant), "mode": F.lit(mode)})
-            result = part if result is None else result.unionByName(part)
-    return result
+    return R.observed_configurations(records, VARIANTS, R.MODES)
 
 
 KEYS = ["variant", "mode"]
 
 
-def _one(spark: SparkSession, sf: str) -> DataFrame:
-    return R.observations(_records(spark, sf), "nli", "strict")
-
-
 def _policy(mode: str):  # noqa: ANN202
     def run(spark: SparkSession, sf: str) -> DataFrame:
         judged = R.judged_claims(_records(spark, sf), "nli", mode)

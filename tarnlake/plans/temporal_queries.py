@@ -74,9 +74,9 @@ def latest_version(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def retire_close(spark: SparkSession, sf: str) -> DataFrame:
-    """Versions of one tenant after its documents were retired at a moment."""
+    """All versions after one tenant's documents were retired at a moment."""
     rows = temporal.retire(temporal.versions_of(read(spark, sf, "chunks")), TENANT, _moment("2025-01-01 00:00:00"))
-    return rows.filter(F.col("tenant_id") == TENANT).select("doc_id", "version", _shown("valid_from"), _shown("valid_to"))
+    return rows.select("tenant_id", "doc_id", "version", _shown("valid_from"), _shown("valid_to"))
 
 
 def change_detection(spark: SparkSession, sf: str) -> DataFrame:
@@ -163,7 +163,7 @@ def oracle_sql() -> dict[str, str]:
         "overlap_violations": overlap.format(state="as stored", plus="", v=_VERSIONS) + " UNION ALL " + overlap.format(state="widened", plus="+ INTERVAL 1 DAY", v=_VERSIONS),
         "asof_join_versions": f"SELECT j.job_id, tenant_id, doc_id, v.version FROM {_JOBS} j JOIN {_VERSIONS} v USING (tenant_id, doc_id) WHERE v.valid_from <= j.published_at AND (v.valid_to IS NULL OR v.valid_to > j.published_at)",
         "latest_version": "SELECT tenant_id, doc_id, coalesce(max(c.version), 0)::BIGINT AS latest FROM (SELECT DISTINCT tenant_id, doc_id FROM ingest_messages) LEFT JOIN chunks c USING (tenant_id, doc_id) GROUP BY ALL",
-        "retire_close": f"SELECT doc_id, version, strftime(valid_from, {_T}) AS valid_from, strftime(CASE WHEN valid_to IS NULL AND valid_from < TIMESTAMP '2025-01-01' THEN TIMESTAMP '2025-01-01' ELSE valid_to END, {_T}) AS valid_to FROM {_VERSIONS} WHERE tenant_id = '{TENANT}'",
+        "retire_close": f"SELECT tenant_id, doc_id, version, strftime(valid_from, {_T}) AS valid_from, strftime(CASE WHEN tenant_id = '{TENANT}' AND valid_to IS NULL AND valid_from < TIMESTAMP '2025-01-01' THEN TIMESTAMP '2025-01-01' ELSE valid_to END, {_T}) AS valid_to FROM {_VERSIONS}",
         "change_detection": _LINEAR,
         "corpus_event_log": f"SELECT tenant_id, outcome, count(*) AS n_events, count(DISTINCT doc_id) AS n_docs FROM ({_LINEAR}) WHERE outcome <> 'unchanged' GROUP BY ALL",
         "corpus_changes_since": f"SELECT tenant_id, count(DISTINCT doc_id) AS changed FROM ingest_messages WHERE published_at > {moment} GROUP BY tenant_id",

@@ -46,13 +46,13 @@ def conformal_p(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def drift_state(spark: SparkSession, sf: str) -> DataFrame:
-    """Last state of every monitor."""
+    """Last state of every monitor; alarmed_at is -1 where it never alarmed."""
     rows = drift.monitored(_stream(spark, sf))
     return rows.groupBy("key").agg(
         F.count(F.lit(1)).alias("n"),
         F.round(F.max_by("log_wealth", "seq"), 6).alias("log_wealth"),
         F.round(F.max("log_wealth"), 6).alias("highest"),
-        F.min(F.when(F.col("alarmed"), F.col("seq"))).alias("alarmed_at"),
+        F.coalesce(F.min(F.when(F.col("alarmed"), F.col("seq"))), F.lit(-1)).alias("alarmed_at"),
     )
 
 
@@ -165,6 +165,22 @@ _HIST = "SELECT event_type, le, count(*) FILTER (WHERE value <= le) AS upto, cou
 _THETA = "('0x' || substr(sha256({k} || ':' || {n}), 1, 16))::UBIGINT::DOUBLE / pow(2, 64)"
 
 
+_P_VALUES = f"""s AS (SELECT event_type AS key, event_id AS seq, least(value / 500, 1.0)::DOUBLE AS x, ts < TIMESTAMP '{LIVE_FROM}' AS cal FROM events),
+    l AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq) - 1 AS n FROM s WHERE NOT cal),
+    b AS (SELECT l.key, l.seq, l.n, count(*) FILTER (WHERE o.x > l.x) AS above, count(*) FILTER (WHERE o.x = l.x) AS equal_, count(o.x) AS size
+          FROM l LEFT JOIN s o ON o.key = l.key AND (o.cal OR o.seq < l.seq) GROUP BY ALL),
+    p AS (SELECT key, seq, n, (above + {_THETA.format(k='key', n='n')} * (equal_ + 1)) / (size + 1) AS pv FROM b)"""
+# the martingale as a recursion: weights mix, each strategy bets, the total is the gain
+_MIX = "((1 - {j}::DOUBLE) * {w} + {j}::DOUBLE / 3)"
+_A, _B, _C = (_MIX.format(j=drift.JUMP, w=w) + f" * (1 + ({e}) * (pv - 0.5::DOUBLE))" for w, e in zip("abc", drift.BETS, strict=True))
+_WEALTH = f"""{_P_VALUES},
+    j AS (SELECT DISTINCT key, -1::BIGINT AS n, NULL::BIGINT AS seq, NULL::DOUBLE AS pv, 1 / 3::DOUBLE AS a, 1 / 3::DOUBLE AS b, 1 / 3::DOUBLE AS c, 0::DOUBLE AS lw FROM p
+          UNION ALL
+          SELECT key, n, seq, pv, x / (x + y + z), y / (x + y + z), z / (x + y + z), lw + ln(x + y + z) FROM (
+              SELECT p.key, p.n, p.seq, p.pv, lw, {_A.replace("pv", "p.pv")} AS x, {_B.replace("pv", "p.pv")} AS y, {_C.replace("pv", "p.pv")} AS z FROM j JOIN p ON p.key = j.key AND p.n = j.n + 1)),
+    m AS (SELECT *, max(lw) OVER (PARTITION BY key ORDER BY n) >= ln({drift.LEVEL}::DOUBLE) AS alarmed FROM j WHERE n >= 0)"""
+
+
 def _decision_sql() -> str:
     from tarnlake.plans import risk_queries as Q
 
@@ -187,11 +203,9 @@ def _calibration_sql() -> str:
 def oracle_sql() -> dict[str, str]:
     return {
         "theta_uniform": f"SELECT event_id, round({_THETA.format(k='event_type', n='event_id')}, 9) AS theta FROM events",
-        "conformal_p": f"""WITH s AS (SELECT event_type AS key, event_id AS seq, least(value / 500, 1.0)::DOUBLE AS x, ts < TIMESTAMP '{LIVE_FROM}' AS cal FROM events),
-            l AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq) - 1 AS n FROM s WHERE NOT cal),
-            b AS (SELECT l.key, l.seq, l.n, count(*) FILTER (WHERE o.x > l.x) AS above, count(*) FILTER (WHERE o.x = l.x) AS equal_, count(o.x) AS size
-                  FROM l LEFT JOIN s o ON o.key = l.key AND (o.cal OR o.seq < l.seq) GROUP BY ALL)
-            SELECT key, seq, round((above + {_THETA.format(k='key', n='n')} * (equal_ + 1)) / (size + 1), 9) AS p_value FROM b""",
+        "conformal_p": f"WITH {_P_VALUES} SELECT key, seq, round(pv, 9) AS p_value FROM p",
+        "drift_monitor": f"WITH RECURSIVE {_WEALTH} SELECT key, seq, round(pv, 9) AS p_value, round(lw, 6) AS log_wealth, alarmed FROM m",
+        "drift_state": f"""WITH RECURSIVE {_WEALTH} SELECT key, count(*) AS n, round(arg_max(lw, seq), 6) AS log_wealth, round(max(lw), 6) AS highest, coalesce(min(seq) FILTER (WHERE alarmed), -1) AS alarmed_at FROM m GROUP BY key""",
         "calibration_in_force": _calibration_sql(),
         "decisions": _decision_sql(),
         "refusals_by_reason": f"SELECT verdict, count(*) AS n FROM ({_decision_sql()}) GROUP BY verdict",

@@ -37,7 +37,7 @@ def theta_uniform(spark: SparkSession, sf: str) -> DataFrame:
 def drift_monitor(spark: SparkSession, sf: str) -> DataFrame:
     """p-value, log wealth and alarm after every live event of each type."""
     rows = drift.monitored(_stream(spark, sf))
-    return rows.select("key", "seq", F.round("p_value", 9).alias("p_value"), F.round("log_wealth", 6).alias("log_wealth"), "alarmed")
+    return rows.select("key", "seq", F.round("p_value", 9).alias("p_value"), (F.round("log_wealth", 6) + 0.0).alias("log_wealth"), "alarmed")
 
 
 def conformal_p(spark: SparkSession, sf: str) -> DataFrame:
@@ -204,7 +204,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "theta_uniform": f"SELECT event_id, round({_THETA.format(k='event_type', n='event_id')}, 9) AS theta FROM events",
         "conformal_p": f"WITH {_P_VALUES} SELECT key, seq, round(pv, 9) AS p_value FROM p",
-        "drift_monitor": f"WITH RECURSIVE {_WEALTH} SELECT key, seq, round(pv, 9) AS p_value, round(lw, 6) AS log_wealth, alarmed FROM m",
+        "drift_monitor": f"WITH RECURSIVE {_WEALTH} SELECT key, seq, round(pv, 9) AS p_value, round(lw, 6) + 0.0::DOUBLE AS log_wealth, alarmed FROM m",
         "drift_state": f"""WITH RECURSIVE {_WEALTH} SELECT key, count(*) AS n, round(arg_max(lw, seq), 6) AS log_wealth, round(max(lw), 6) AS highest, coalesce(min(seq) FILTER (WHERE alarmed), -1) AS alarmed_at FROM m GROUP BY key""",
         "calibration_in_force": _calibration_sql(),
         "decisions": _decision_sql(),

@@ -84,6 +84,37 @@ def test_corruptions():
     assert corruption.change_number("no figure", 1) is None
 
 
+def test_turkish_negations():
+    for claim, turned in {
+        "Veri sorumlusu yükümlüdür.": "Veri sorumlusu yükümlü değildir.", "Bu şarttır.": "Bu şart değildir.", "Bu gündür.": "Bu gün değildir.",
+        "Rıza gerekmektedir.": "Rıza gerekmemektedir.", "Rıza gerekmemektedir.": "Rıza gerekmektedir.", "Taraflar isteyebilirler.": "Taraflar isteyemezler.",
+        "Taraflar yapabilirler.": "Taraflar yapamazlar.", "Veriler aktarılabilir.": "Veriler aktarılamaz.", "Bu mümkün değildir.": "Bu mümkündür.",
+        "Vardır bir istisna.": "yoktur bir istisna.", "Rıza alınır.": "Rıza alınmaz.", "Kayıt silinir.": "Kayıt silinmez.",
+    }.items():
+        assert corruption.turn_negation(claim, "tr") == turned
+    assert corruption.turn_negation("Hükümlerini Başkan yürütür.", "tr") is None and corruption.turn_negation("Bir kişi.", "tr") is None
+
+
+def test_english_negations():
+    assert corruption.turn_negation("It has been erased.", "en") == "It has not been erased."
+    assert corruption.turn_negation("They had repealed it.", "en") == "They had not repealed it."
+    assert corruption.turn_negation("It opened on May 27, 1937.", "en") is None
+
+
+def test_numbers_in_words_and_in_dates():
+    for pick in range(300):
+        assert "otuz gün" not in corruption.change_number("Başvuru otuz gün içinde sonuçlanır.", pick, "tr")
+        tens = corruption.change_number("Notice of fifty (50) days is required.", pick, "en").split(" of ")[1].split(" days")[0]
+        assert tens in {"twenty-five (25)", "sixty (60)"}
+        day, year = corruption.change_number("It was signed on June 28, 2018.", pick, "en").split("June ")[1].rstrip(".").split(", ")
+        assert 1 <= int(day) <= 28 and 2008 <= int(year) <= 2028
+        assert corruption.change_number("(3) (Değişik:2/3/2024-7499/33 md.) Başvuru [sicil-md-07] incelenir.", pick, "tr") is None
+    years = {int(corruption.change_number("in 1977 it began", p).split()[1]) for p in range(300)}
+    assert years == set(range(1967, 1988)) - {1977}
+    assert corruption.change_number("İKİ AY", 0, "tr") == "Dört AY" and corruption.change_number("Dört ay", 2, "tr") == "İki ay"
+    assert corruption.change_number("the three-dimensional structure", 0, "en") is None and corruption.change_number("a bir one", 0, "tr") is None
+
+
 def test_injection_is_stable_and_labelled(spark):
     rng = random.Random(2)
     rows = [(f"q{i}", j, rng.choice(["tr", "en", "de", None]), rng.choice(["The fee is 30 liras.", "Süre 20 gündür.", "x", None])) for i in range(60) for j in (1, 2)]

@@ -108,3 +108,12 @@ def text_config(lang: Column) -> Column:
     """Analyzer of a language label: turkish, english or simple."""
     head = F.substring(F.lower(F.trim(lang)), 1, 2)
     return F.when(head == "tr", "turkish").when(head == "en", "english").otherwise("simple")
+
+
+# Labels that name no language.
+NO_LANGUAGE = ("", "und", "unknown", "n/a", "na", "none", "null", "mul", "xx", "zxx", "mis", "?")
+
+
+def names_language(lang: Column) -> Column:
+    """Whether a label names a language; never null."""
+    return F.coalesce(~F.lower(F.trim(lang)).isin(*NO_LANGUAGE), F.lit(False))

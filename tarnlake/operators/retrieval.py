@@ -7,7 +7,7 @@ query whose candidates are a third of all rows is cut down before it is shuffled
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -63,13 +63,17 @@ def bm25_scores(lexemes: DataFrame, posts: DataFrame, k1: float = 1.2, b: float
     return hits.groupBy("query_id", "tenant_id", "chunk_id").agg(F.sum(part).alias("score"))
 
 
-def reciprocal_rank_fusion(ranked: DataFrame, group: str = "query_id", item: str = "chunk_id", k: int = RRF_K) -> DataFrame:
-    """Sum of 1 / (k + rank) over arms, with the rank of each arm; one aggregation, no outer join."""
+def reciprocal_rank_fusion(ranked: DataFrame, group: str = "query_id", item: str = "chunk_id", k: int = RRF_K, best: Sequence[str] = ()) -> DataFrame:
+    """Sum of 1 / (k + rank) over arms, with the rank of each arm; one aggregation, no outer join.
+
+    Of the columns in ``best`` the highest value over the arms is kept.
+    """
     if k <= 0:
         raise ValueError("k must be positive")
     return ranked.groupBy(group, item).agg(
         F.sum(F.lit(1.0) / (F.lit(k) + F.col("rank"))).alias("score"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("arm", "rank")))).alias("ranks"),
+        *[F.max(c).alias(c) for c in best],
     )
 
 

@@ -46,13 +46,26 @@ def lexical_bm25(spark: SparkSession, sf: str) -> DataFrame:
     return _ranked_lexical(spark, sf, R.bm25_scores).select("query_id", "chunk_id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
+def _query_arms(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """One row per query and analyzer: its language's own, else every analyzer in force in its tenant."""
+    in_force = chunks.select("tenant_id", T.text_config(F.col("lang")).alias("config")).groupBy("tenant_id").agg(F.collect_set("config").alias("in_force"))
+    own = F.when(T.names_language(F.col("lang")), F.array(T.text_config(F.col("lang"))))
+    return queries.join(in_force, "tenant_id").withColumn("config", F.explode(F.coalesce(own, "in_force"))).drop("in_force")
+
+
 def lexical_stemmed(spark: SparkSession, sf: str) -> DataFrame:
-    """The same with the analyzer of each chunk's and each query's own language."""
+    """The same with the analyzer of each chunk's and each query's own language.
+
+    A query without a language has an arm for every analyzer in its tenant's chunks; arms are fused by
+    reciprocal rank.  The score is the highest of the arms', the rank that of the fusion.
+    """
     chunks = _chunks(spark, sf).withColumn("tokens", analysed("text", T.text_config(F.col("lang"))))
-    queries = _queries(spark, sf).withColumn("tokens", analysed("text", T.text_config(F.col("lang"))))
-    scored = R.lexical_scores(R.query_lexemes(queries, F.col("tokens")), R.postings(chunks, F.col("tokens")))
-    ranked = R.top_k(scored.withColumn("score", F.round("score", 6)), LEXICAL_K, ["query_id"], [F.desc("score"), F.asc("chunk_id")])
-    return ranked.select("query_id", "chunk_id", "score", "rank")
+    arms = _query_arms(_queries(spark, sf), current(read(spark, sf, "chunks"))).withColumn("tokens", analysed("text", "config"))
+    asked = arms.withColumn("query_id", F.struct("query_id", F.col("config").alias("arm")))
+    scored = R.lexical_scores(R.query_lexemes(asked, F.col("tokens")), R.postings(chunks, F.col("tokens"))).withColumn("score", F.round("score", 6))
+    ranked = R.top_k(scored, LEXICAL_K, ["query_id"], [F.desc("score"), F.asc("chunk_id")]).select("query_id.*", "chunk_id", F.col("score").alias("match"), "rank")
+    fused = R.top_k(R.reciprocal_rank_fusion(ranked, best=["match"]), LEXICAL_K, ["query_id"], [F.desc("score"), F.asc("chunk_id")])
+    return fused.select("query_id", "chunk_id", F.col("match").alias("score"), "rank", F.round("score", 9).alias("fused_score"))
 
 
 def query_lexemes(spark: SparkSession, sf: str) -> DataFrame:

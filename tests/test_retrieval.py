@@ -88,3 +88,19 @@ def test_stems():
     assert stem_en("relational") == "relat" and stem_en("caresses") == "caress"
     assert stem_tr("belgelerini") == stem_tr("belgeler") and stem_tr("süre") == "sure"
     assert analyse("The İzinler", "english")[-1] and analyse(None, "turkish") == []
+
+
+def test_queries_without_language_have_an_arm_per_analyzer(spark, tmp_path):
+    from tarnlake.plans.retrieval_queries import lexical_stemmed
+
+    chunks = [("a", "c1", "d1", "Belgeler saklanır", "tr"), ("a", "c2", "d2", "The connections remain", "en"), ("a", "c3", "d3", "belgelerini connected", None), ("b", "c4", "d4", "Belgeler saklanır", "tr")]
+    spark.createDataFrame([(*c, None) for c in chunks], "tenant_id string, chunk_id string, doc_id string, text string, lang string, valid_to timestamp").write.parquet(f"{tmp_path}/chunks.parquet")
+    labels = [None, "", "und", "Unknown", "n/a", "xx", "tr", "en", "de"]
+    queries = [(f"q{i}", "a", "belgelerini connected", lang, [], "verified") for i, lang in enumerate(labels)]
+    spark.createDataFrame(queries, "query_id string, tenant_id string, text string, lang string, relevant_docs array<string>, status string").write.parquet(f"{tmp_path}/eval_queries.parquet")
+    got = {}
+    for r in lexical_stemmed(spark, str(tmp_path)).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.chunk_id, r.score, r["rank"], r.fused_score))
+    want = [("c3", 0.2, 1, round(1 / 61 + 2 / 62, 9)), ("c1", 0.1, 2, round(1 / 61, 9)), ("c2", 0.1, 3, round(1 / 61, 9))]
+    assert all(got[f"q{i}"] == want for i in range(6))
+    assert [[c for c, *_ in got[q]] for q in ("q6", "q7", "q8")] == [["c1", "c3"], ["c2", "c3"], ["c3"]]

@@ -109,8 +109,8 @@ def grid_place(statistic: Column) -> Column:
     return F.when(place <= GRID, place)
 
 
-def _cumulated(per_place: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Candidates from counts per place: keys, place (null: never answered), n_here, bad_here."""
+def _cumulated(per_place: DataFrame, keys: Sequence[str], more: Sequence[str] = ()) -> DataFrame:
+    """Candidates from counts per place: keys, place (null: never answered), n_here, bad_here, and more counts to add up."""
     keys = list(keys)
     totals = per_place.groupBy(*keys).agg(F.sum("n_here").alias("n"))
     points = F.transform(F.sequence(F.lit(1), F.lit(GRID)), lambda i: F.struct(i.alias("place"), F.round(i * 0.02, 2).alias("lambda")))
@@ -124,6 +124,7 @@ def _cumulated(per_place: DataFrame, keys: Sequence[str]) -> DataFrame:
         "n",
         F.sum(F.coalesce("n_here", F.lit(0))).over(w).alias("answered"),
         F.sum(F.coalesce("bad_here", F.lit(0))).over(w).alias("failures"),
+        *[F.sum(F.coalesce(c, F.lit(0))).over(w).alias(c) for c in more],
     )
 
 
@@ -220,19 +221,22 @@ def repeated_trials(obs: DataFrame, trials: int, alpha: float, delta: float, key
 
     A response is on the calibration side of a trial where a hash of trial and id says so, so no sort and
     no table of splits is needed, and the hash is taken once for all configurations of a response.  All
-    that is shuffled are counts per trial, side and grid place, which both sides then share.
+    that is shuffled are counts per trial, side and grid place, which both sides then share.  With the counts of
+    useful and of unanswerable responses, so ``obs`` must say which ones are useful and answerable.
     """
     keys = list(keys)
-    config = F.struct(*keys, F.when(F.col("answered"), grid_place(F.col("statistic"))).alias("place"), "loss")
+    config = F.struct(*keys, F.when(F.col("answered"), grid_place(F.col("statistic"))).alias("place"), "loss", "useful", "answerable")
     nested = obs.groupBy("query_id").agg(F.collect_list(config).alias("configs"))
     drawn = nested.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
     draw = F.conv(F.substring(F.sha2(F.concat(F.col("trial").cast("string"), F.lit(":"), F.col("query_id")), 256), 1, 8), 16, 10).cast("double") / float(2**32)
     rows = drawn.select("trial", (draw < fraction).alias("is_calibration"), F.explode("configs").alias("c")).select("trial", "is_calibration", "c.*")
     keys = [*keys, "trial"]
-    counts = checkpointed(rows.groupBy(*keys, "is_calibration", "place").agg(F.count(F.lit(1)).alias("n_here"), F.count_if("loss").alias("bad_here")))
+    here = {"n_here": F.count(F.lit(1)), "bad_here": F.count_if("loss"), "useful": F.count_if("useful"), "unanswerable": F.count_if(~F.col("answerable"))}
+    counts = checkpointed(rows.groupBy(*keys, "is_calibration", "place").agg(*[c.alias(name) for name, c in here.items()]))
     chosen = select_threshold(_cumulated(counts.filter("is_calibration"), keys), alpha, delta, keys)
-    test = _cumulated(counts.filter(~F.col("is_calibration")), keys).join(chosen.select(*keys, "certified", F.col("threshold").alias("lambda")), [*keys, "lambda"], "right")
-    total = counts.filter(~F.col("is_calibration")).groupBy(*keys).agg(F.sum("n_here").alias("n_test"))
+    held_out = counts.filter(~F.col("is_calibration"))
+    test = _cumulated(held_out, keys, ["useful", "unanswerable"]).withColumnRenamed("unanswerable", "unanswerable_answered").join(chosen.select(*keys, "certified", F.col("threshold").alias("lambda")), [*keys, "lambda"], "right")
+    total = held_out.groupBy(*keys).agg(F.sum("n_here").alias("n_test"), F.sum("unanswerable").alias("unanswerable"))
     return test.join(total, keys).select(
         *keys,
         "certified",
@@ -240,18 +244,34 @@ def repeated_trials(obs: DataFrame, trials: int, alpha: float, delta: float, key
         F.coalesce("answered", F.lit(0)).alias("answered"),
         F.coalesce("failures", F.lit(0)).alias("failures"),
         "n_test",
+        F.coalesce("useful", F.lit(0)).alias("useful"),
+        "unanswerable",
+        F.coalesce("unanswerable_answered", F.lit(0)).alias("unanswerable_answered"),
     )
 
 
 def trial_summary(trials: DataFrame, alpha: float, keys: Sequence[str] = ()) -> DataFrame:
-    """Certified share, share of certified trials above alpha, mean risk of certified trials with answers, mean answer rate."""
+    """Certified share, share of certified trials above alpha, and means over trials.
+
+    Threshold and answered share of unanswerable responses are averaged over certified trials, the risk (with
+    the half-width of its 95 % interval) over those with answers, answer rate and useful rate over all trials,
+    of which uncertified ones answer nothing.
+    """
+
+    def of_all(count: str) -> Column:
+        return F.avg(F.when(F.col("n_test") > 0, F.when(F.col("certified"), F.col(count)).otherwise(0) / F.col("n_test")).otherwise(0.0))
+
     risk = F.when(F.col("certified") & (F.col("answered") > 0), F.col("failures") / F.col("answered"))
     return trials.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_trials"),
         F.avg(F.col("certified").cast("double")).alias("certified_rate"),
         F.coalesce(F.avg(F.when(F.col("certified"), (F.coalesce(risk, F.lit(0.0)) > alpha).cast("double"))), F.lit(0.0)).alias("exceedance"),
         F.avg(risk).alias("mean_risk"),
-        F.avg(F.when(F.col("n_test") > 0, F.when(F.col("certified"), F.col("answered")).otherwise(0) / F.col("n_test")).otherwise(0.0)).alias("answer_rate"),
+        of_all("answered").alias("answer_rate"),
+        F.avg(F.when(F.col("certified"), F.col("threshold"))).alias("mean_threshold"),
+        (1.96 * F.stddev_samp(risk) / F.sqrt(F.count(risk))).alias("risk_ci95"),
+        of_all("useful").alias("useful_rate"),
+        F.avg(F.when(F.col("certified") & (F.col("unanswerable") > 0), F.col("unanswerable_answered") / F.col("unanswerable"))).alias("unanswerable_answered"),
     )
 
 

@@ -12,7 +12,7 @@ from tarnlake.operators import risk as R
 from tarnlake.session import read
 
 VARIANTS = ("nli", "overlap")
-ALPHA, DELTA, TRIALS = 0.3, 0.05, 100
+ALPHA, DELTA, TRIALS = 0.3, 0.05, 200
 KINDS = ("number", "negation", "term", "date")  # kinds of planted errors in the records
 
 
@@ -149,7 +149,7 @@ def verifier_confusion(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _trials(spark: SparkSession, sf: str) -> DataFrame:
-    obs = _observed(spark, sf).select(*KEYS, "query_id", "statistic", "loss", "answered")
+    obs = _observed(spark, sf).select(*KEYS, "query_id", "statistic", "loss", "answered", "useful", "answerable")
     return R.repeated_trials(obs, TRIALS, ALPHA, DELTA, KEYS)
 
 
@@ -165,6 +165,12 @@ def exceedance(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(*KEYS, "n_trials", *[F.round(c, 6).alias(c) for c in ("certified_rate", "exceedance", "mean_risk", "answer_rate")])
 
 
+def trial_figures(spark: SparkSession, sf: str) -> DataFrame:
+    """Means over the splits: threshold, risk with its half-width, useful rate, answered share of unanswerable responses."""
+    rows = R.trial_summary(_trials(spark, sf), ALPHA, KEYS)
+    return rows.select(*KEYS, "n_trials", *[F.round(c, 6).alias(c) for c in ("mean_threshold", "mean_risk", "risk_ci95", "useful_rate", "unanswerable_answered")])
+
+
 def ablation_table(spark: SparkSession, sf: str) -> DataFrame:
     """Operating points of all expected configurations; those without records say so."""
     expected = spark.createDataFrame([(v, m) for v in (*VARIANTS, "logit", "nli-window") for m in R.MODES], "variant string, mode string")
@@ -240,7 +246,7 @@ def queries() -> dict:
     listed = (
         *(_policy(m) for m in R.MODES), observations_gold, observations_verifier, assemble_answer, lambda_grid, ltt_bonferroni, ltt_fixed_sequence,
         binomial_tail_table, min_certifiable_n, transfer_test, operating_point, risk_coverage, aurc, risk_at_coverage, auroc_by_kind,
-        verifier_confusion, repeated_splits, exceedance, ablation_table, recall_of_records, citation_check, overlap_of_claims,
+        verifier_confusion, repeated_splits, exceedance, trial_figures, ablation_table, recall_of_records, citation_check, overlap_of_claims,
         any_evidence_overlap, latest_certified, paired_observations, split_sides,
     )
     return {f.__name__: f for f in listed}
@@ -348,6 +354,11 @@ def oracle_sql() -> dict[str, str]:
             round(coalesce(avg(CASE WHEN certified THEN (CASE WHEN answered > 0 THEN failures / answered ELSE 0 END > {_A})::INT END), 0), 6)::DOUBLE AS exceedance,
             round(avg(CASE WHEN certified AND answered > 0 THEN failures / answered END), 6) AS mean_risk,
             round(avg(CASE WHEN certified THEN answered ELSE 0 END / n_test), 6) AS answer_rate FROM tr GROUP BY ALL""",
+        "trial_figures": f"""WITH {_SPLIT}, sv AS (SELECT sp.*, certified, threshold, certified AND answered AND statistic <= threshold AS s FROM sp JOIN ch ON ch.variant = sp.variant AND ch.mode = sp.mode AND ch.trial = sp.trial WHERE NOT cal),
+            f AS (SELECT variant, mode, trial, certified, threshold, CASE WHEN certified AND count(*) FILTER (WHERE s) > 0 THEN count(*) FILTER (WHERE s AND loss) / count(*) FILTER (WHERE s) END AS risk,
+                  count(*) FILTER (WHERE s AND useful) / count(*) AS useful, CASE WHEN certified AND count(*) FILTER (WHERE NOT answerable) > 0 THEN count(*) FILTER (WHERE s AND NOT answerable) / count(*) FILTER (WHERE NOT answerable) END AS hopeless FROM sv GROUP BY variant, mode, trial, certified, threshold)
+            SELECT {_KEYS}, count(*) AS n_trials, round(avg(threshold) FILTER (WHERE certified), 6) AS mean_threshold, round(avg(risk), 6) AS mean_risk, round(1.96::DOUBLE * stddev_samp(risk) / sqrt(count(risk)), 6) AS risk_ci95,
+            round(avg(useful), 6) AS useful_rate, round(avg(hopeless), 6) AS unanswerable_answered FROM f GROUP BY ALL""",
         "ablation_table": f"""WITH {_OBS}, p AS ({_POINT}), e AS (SELECT * FROM (SELECT unnest(['nli', 'overlap', 'logit', 'nli-window']) AS variant), (SELECT unnest(['strict', 'flagged', 'permissive']) AS mode))
             SELECT e.variant, e.mode, CASE WHEN n IS NULL THEN 'not run' ELSE 'run' END AS state, coalesce(n, 0) AS n, round(answer_rate, 6) AS answer_rate, round(risk, 6) AS risk FROM e LEFT JOIN p ON p.variant = e.variant AND p.mode = e.mode""",
         "recall_of_records": f"WITH {_R} SELECT category, count(*) AS n, round(avg(coalesce(list_has_any(retrieved_docs, relevant_docs), false)::INT), 6) AS doc_recall, count(evidence_retrieved) AS n_labelled, round(avg(evidence_retrieved::INT), 6) AS evidence_recall FROM r WHERE answerable GROUP BY category",

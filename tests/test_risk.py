@@ -1,5 +1,6 @@
 """Binomial tails, threshold selection, curves and the guarantee itself."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -103,3 +104,24 @@ def test_auroc_with_ties(spark):
     rows = [("v", 0.9, True), ("v", 0.5, True), ("v", 0.5, False), ("v", 0.1, False), ("w", 0.5, True)]
     got = {r.variant: r.auroc for r in R.auroc(spark.createDataFrame(rows, "variant string, score double, is_clean boolean"), ["variant"]).collect()}
     assert got["v"] == pytest.approx(0.875) and got["w"] is None
+
+
+def test_trial_summary_figures(spark):
+    schema = "certified boolean, threshold double, answered bigint, failures bigint, n_test bigint, useful bigint, unanswerable bigint, unanswerable_answered bigint"
+    rows = [(True, 0.2, 10, 1, 20, 8, 5, 1), (True, 0.4, 10, 3, 20, 4, 0, 0), (True, 0.6, 0, 0, 20, 0, 4, 0), (False, 0.0, 0, 0, 20, 0, 5, 0)]
+    got = R.trial_summary(spark.createDataFrame(rows, schema), 0.2).first()
+    assert (got.n_trials, got.certified_rate, got.mean_threshold, got.mean_risk, got.answer_rate) == pytest.approx((4, 0.75, 0.4, 0.2, 0.25))
+    assert got.risk_ci95 == pytest.approx(1.96 * math.sqrt(0.02 / 2)) and got.useful_rate == pytest.approx(0.15) and got.unanswerable_answered == pytest.approx(0.1)
+
+
+def test_trials_carry_useful_and_unanswerable(spark):
+    from tarnlake.plans.risk_queries import TRIALS
+
+    assert TRIALS == 200
+    rng = np.random.default_rng(5)
+    rows = [(str(i), float(round(x, 3)), bool(rng.random() < 0.05 * x), bool(rng.random() < 0.9), bool(rng.random() < 0.7), bool(rng.random() < 0.8)) for i, x in enumerate(rng.random(900))]
+    for r in R.repeated_trials(obs_frame(spark, rows), 3, 0.3, 0.05).collect():
+        side = [x for x in rows if int(hashlib.sha256(f"{r.trial}:{x[0]}".encode()).hexdigest()[:8], 16) / 2**32 >= 0.6]
+        served = [x for x in side if r.certified and x[3] and x[1] <= r.threshold]
+        assert r.certified and (r.n_test, r.answered, r.unanswerable) == (len(side), len(served), sum(not x[5] for x in side))
+        assert (r.useful, r.unanswerable_answered) == (sum(x[4] for x in served), sum(not x[5] for x in served))

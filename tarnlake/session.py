@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -77,3 +78,8 @@ def spread(df: DataFrame, rows_hint: int | None = None) -> DataFrame:
     if df.rdd.getNumPartitions() < cores:
         return df.repartition(cores)
     return df
+
+
+def small_side(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
+    """The side of a join, marked for broadcast where a count shows at most ``most_rows`` rows; else left to the planner."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df

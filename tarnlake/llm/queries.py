@@ -141,29 +141,31 @@ def _counted(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.count_tokens(read(spark, sf, "documents").select("doc_id", "source", "text"))
 
 
-def _plan(counted: DataFrame, spark: SparkSession, sf: str) -> DataFrame:
-    return mixing.mixture_plan(mixing.source_totals(counted), read(spark, sf, "mix_targets"))
+def _drawn(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Demand of every source of every mix, and the drawn copies with their positions."""
+    counted = checkpointed(_counted(spark, sf))  # ids and numbers, no texts
+    totals = checkpointed(mixing.source_totals(counted))  # a row per source
+    demand = checkpointed(mixing.mixture_demand(totals, read(spark, sf, "mix_targets")))  # a row per mix and source
+    return demand, mixing.curriculum(counted, demand)
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Sources that stay below their target even when repeated as often as allowed."""
-    totals = checkpointed(mixing.source_totals(_counted(spark, sf)))  # one row per source
-    plan = mixing.mixture_plan(totals, read(spark, sf, "mix_targets"))
-    return plan.filter(F.col("shortfall") > 1e-6 * F.col("demand")).select("mix_id", "source").distinct()
+    """Sources whose copies run out before their demand is met, however often they may be repeated."""
+    shares = mixing.shares_reached(*_drawn(spark, sf))
+    return shares.filter(F.col("shortfall") > 1e-6 * F.col("demand")).select("mix_id", "source")
 
 
 def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
-    """Shares reached by every source of every mix."""
-    totals = checkpointed(mixing.source_totals(_counted(spark, sf)))
-    plan = mixing.mixture_plan(totals, read(spark, sf, "mix_targets"))
-    return plan.select("mix_id", "source", "target_share", F.round("actual_share", 6).alias("actual_share"), "copies", "supply", F.round("shortfall", 2).alias("shortfall"))
+    """Shares reached by every source of every mix, and the time at which its last copy stands."""
+    shares = mixing.shares_reached(*_drawn(spark, sf))
+    figures = [F.round(c, n).alias(c) for c, n in (("actual_share", 6), ("drawn", 2), ("shortfall", 2), ("ends_at", 6))]
+    return shares.select("mix_id", "source", "target_share", "copies", "supply", *figures)
 
 
 def p9_curriculum(spark: SparkSession, sf: str) -> DataFrame:
     """Every drawn copy of every document with its training position, in order."""
-    counted = checkpointed(_counted(spark, sf))
-    positions = mixing.curriculum(counted, _plan(counted, spark, sf))
-    return mixing.in_training_order(positions).withColumn("position", F.round("position", 9))
+    _, positions = _drawn(spark, sf)
+    return mixing.in_training_order(positions.drop("drawn")).withColumn("position", F.round("position", 9))
 
 
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -290,26 +290,70 @@ def test_tokens(spark):
     assert got[1] == len(mixing._encoder(mixing.TOKENIZER).encode_ordinary(EN)) and got[2] == got[3] == 0
 
 
-def test_plan_and_curriculum(spark):
-    counted = spark.createDataFrame([(i, "big" if i < 90 else "small", 10) for i in range(100)] + [(200, None, 5)], "doc_id long, source string, tokens long")
-    targets = spark.createDataFrame([("m", "big", 0.5, 1), ("m", "small", 0.5, 3), ("m", "none", 0.0, None), ("m", "big", 0.5, 1), (None, "big", 1.0, 1)], "mix_id string, source string, target_share double, max_repeats int")
-    totals = mixing.source_totals(counted.filter("source is not null"))
-    plan = {r.source: r for r in mixing.mixture_plan(totals, targets).collect()}
-    assert plan["big"].shortfall == 0 and plan["small"].drawn == 300 and plan["small"].shortfall == 200 and plan["small"].copies == 3
-    assert plan["big"].actual_share == pytest.approx(500 / 800) and plan["none"].supply == 0
-    rows = mixing.curriculum(counted, mixing.mixture_plan(totals, targets)).collect()
-    small = [r for r in rows if r.source == "small"]
-    assert len(small) == 30 and len([r for r in rows if r.source == "big"]) == 50
-    assert all(0 <= r.position <= 1 for r in rows) and len({(r.doc_id, r.copy) for r in rows}) == 80
-    again = mixing.curriculum(counted.repartition(7), mixing.mixture_plan(totals, targets), buckets=3).collect()
-    assert sum(r.tokens for r in again) == sum(r.tokens for r in rows)
+TARGETS = "mix_id string, source string, target_share double, max_repeats int"
 
 
-def test_positions_invert_the_schedule(spark):
-    df = spark.range(0, 101).select((F.col("id") / 100.0).alias("f"))
-    got = df.select("f", mixing.position_of(F.col("f") * 7, F.lit(7.0), F.lit(0.2), F.lit(0.6)).alias("t"), mixing.position_of(F.col("f"), F.lit(1.0), F.lit(0.3), F.lit(0.3)).alias("flat")).collect()
-    assert all(0.2 * r.t + 0.2 * r.t**2 == pytest.approx(0.4 * r.f, abs=1e-9) for r in got)
-    assert all(r.flat == pytest.approx(r.f) for r in got)
+def test_curriculum_and_shares(spark):
+    counted = spark.createDataFrame([(i, "big" if i < 90 else "small", 10) for i in range(100)] + [(200, None, 5), (201, "big", 0)], "doc_id long, source string, tokens long")
+    rows = [("m", "big", 0.5, 1), ("m", "small", 0.5, 3), ("m", "none", 0.0, None), ("m", "big", 0.5, 1), (None, "big", 1.0, 1), ("n", "none", 1.0, 4)]
+    totals = mixing.source_totals(counted.filter("source is not null"))
+    demand = mixing.mixture_demand(totals, spark.createDataFrame(rows, TARGETS))
+    drawn = mixing.curriculum(counted, demand)
+    got = {(r.mix_id, r.source): r for r in mixing.shares_reached(demand, drawn).collect()}
+    big, small = got["m", "big"], got["m", "small"]
+    assert (big.drawn, big.shortfall, big.copies) == (500, 0, 1) and (small.drawn, small.shortfall, small.copies) == (300, 200, 3)
+    assert big.actual_share == pytest.approx(500 / 800) and small.ends_at < 0.6 and big.ends_at == pytest.approx(0.98)
+    assert got["m", "none"].shortfall == 0 and got["n", "none"].shortfall == 1000 and got["n", "none"].actual_share == 0
+    rows = drawn.collect()
+    assert len([r for r in rows if r.source == "small"]) == 30 and len([r for r in rows if r.source == "big"]) == 50
+    assert all(0 <= r.position <= 1 for r in rows) and len({(r.doc_id, r.copy) for r in rows}) == 80
+    again = mixing.curriculum(counted.repartition(7), demand, rows_per_bucket=7).collect()  # order within a source differs by bucket, sums do not
+    assert sorted((r.source, r.tokens, round(r.position, 9)) for r in again) == sorted((r.source, r.tokens, round(r.position, 9)) for r in rows)
+    slow = [r for r in mixing.curriculum(counted, demand, stretch=True).collect() if r.source == "small"]
+    assert len(slow) == 30 and max(r.position for r in slow) > 0.95
+    assert mixing.curriculum(counted.limit(0), demand).count() == 0
+
+
+def test_schedules_are_input(spark):
+    """With b asked for only in the second half, its documents stand there, and the shares are the integrals."""
+    counted = spark.createDataFrame([(i, "ab"[i % 2], 5) for i in range(400)], "doc_id long, source string, tokens long")
+    targets = spark.createDataFrame([("m", "a", 0.5, 1), ("m", "b", 0.25, 1)], TARGETS)
+    knots = [("m", "a", 0.0, 1.0), ("m", "a", 1.0, 0.0), ("m", "b", 0.5, 0.0), ("m", "b", 1.0, 1.0), ("m", "b", 1.5, 9.0), (None, "b", 0.1, 9.0), ("m", "b", 0.2, None), ("m", "a", 0.0, 1.0)]
+    schedules = spark.createDataFrame(knots, "mix_id string, source string, time double, weight double")
+    demand = mixing.mixture_demand(mixing.source_totals(counted), targets, schedules)
+    rows = mixing.curriculum(counted, demand).collect()
+    assert {r.source: round(r.demand, 6) for r in demand.collect()} == {"a": 1000.0, "b": 500.0}
+    assert min(r.position for r in rows if r.source == "b") >= 0.5
+    early = sum(r.tokens for r in rows if r.source == "a" and r.position < 0.5)
+    assert early == pytest.approx(750, abs=5)  # three quarters of a falling line lie in its first half
+
+
+def test_default_schedules_add_up(spark):
+    rows = [("m", "a", 0.7, 1), ("m", "b", 0.25, 1), ("m", "c", 0.05, 1), ("o", "a", 1.0, 1)]
+    lines = {(r.mix_id, r.source, r.time): r.weight for r in mixing.schedule_of_targets(spark.createDataFrame(rows, TARGETS)).collect()}
+    assert all(w >= 0 for w in lines.values()) and len(lines) == 8
+    for t in (0.0, 1.0):
+        assert sum(w for (m, _, at), w in lines.items() if m == "m" and at == t) == pytest.approx(1.0)
+    for m, s, share, _ in rows:
+        assert (lines[m, s, 0.0] + lines[m, s, 1.0]) / 2 == pytest.approx(share)
+    assert lines["m", "c", 0.0] > lines["m", "c", 1.0] and lines["m", "a", 0.0] < lines["m", "a", 1.0]
+
+
+def test_times_invert_the_integral(spark):
+    knots = [("m", s, t, w) for s, points in (("up", ((0.0, 0.2), (1.0, 0.6))), ("flat", ((0.3, 0.4),)), ("bent", ((0.0, 0.0), (0.5, 1.0), (0.75, 0.0), (1.0, 0.4)))) for t, w in points]
+    curves = mixing.demand_curves(spark.createDataFrame(knots, "mix_id string, source string, time double, weight double"))
+    asked = curves.crossJoin(spark.range(0, 101).select((F.col("id") / 100.0).alias("f")))
+    got = mixing.with_time(asked, F.col("f") * F.col("share"), name="t").collect()
+
+    def weight(points, t):
+        return leakage.np.interp(t, [p[0] for p in points], [p[1] for p in points])
+
+    shapes = {s: [(t, w) for _, x, t, w in knots if x == s] for s in ("up", "flat", "bent")}
+    fine = leakage.np.linspace(0, 1, 20001)
+    for r in got:
+        cumulative = leakage.np.concatenate(([0], leakage.np.cumsum((lambda w: (w[1:] + w[:-1]) / 2)(weight(shapes[r.source], fine)) / 20000)))
+        assert leakage.np.interp(r.t, fine, cumulative) == pytest.approx(r.f * r.share, abs=1e-6)
+    assert len(got) == 3 * 100  # the whole integral is never passed
 
 
 def test_clashing_columns(spark, model):
@@ -318,5 +362,5 @@ def test_clashing_columns(spark, model):
     assert language.detect_languages(noisy, model).first().detected == "tr"
     assert sentences.sentence_units(noisy).first().start_pos == 0
     assert mixing.count_tokens(noisy.withColumn("source", F.lit("s"))).first().tokens > 0
-    targets = spark.createDataFrame([("m", "s", 1.0, 2)], "mix_id string, source string, target_share double, max_repeats int").withColumn("supply", F.lit("x"))
-    assert mixing.mixture_plan(spark.createDataFrame([("s", 10, 1)], "source string, supply long, n_docs long"), targets).first().supply == 10
+    targets = spark.createDataFrame([("m", "s", 1.0, 2)], TARGETS).withColumn("supply", F.lit("x"))
+    assert mixing.mixture_demand(spark.createDataFrame([("s", 10, 1)], "source string, supply long, n_docs long"), targets).first().supply == 10

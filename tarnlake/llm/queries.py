@@ -91,7 +91,7 @@ def _oversized(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Texts above their limit, with 1 where a stretch longer than the limit has no natural boundary."""
+    """Texts above their limit, with 1 where the cuts fall into a stretch longer than the limit without natural boundary."""
     rows = _oversized(spark, sf)
     return rows.select("src", "item_id", (F.col("longest") > F.col("target_chars")).cast("int").alias("unbroken")).dropDuplicates(["src", "item_id"])
 
@@ -103,6 +103,23 @@ def p6_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return pieces.select("src", "item_id", "piece_no", F.col("p.start").alias("start_pos"), F.col("p.end").alias("end_pos"), F.col("p.core").alias("core_pos"), F.col("p.strength").alias("strength"))
 
 
+def p6_invariants(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold of the pieces of every oversized text: within the limit, overlapping as asked, and whole when joined."""
+    rows = _oversized(spark, sf).dropDuplicates(["src", "item_id"])
+    after = F.slice("pieces", F.lit(2), F.size("pieces") - 1)
+    asked = F.greatest(F.lit(0), F.least(F.coalesce("overlap_chars", F.lit(0)), F.floor((F.col("target_chars") - 1) / 2)))
+    joined = F.forall(F.arrays_zip(F.slice("pieces", F.lit(1), F.size("pieces") - 1).alias("a"), after.alias("b")), lambda p: p["a"]["end"] == p["b"]["core"])
+    first, last = F.element_at("pieces", 1), F.element_at("pieces", -1)
+    return rows.select(
+        "src",
+        "item_id",
+        F.col("n_chars").cast("bigint").alias("n_chars"),
+        F.forall("pieces", lambda p: (p["end"] > p["core"]) & (p["end"] - p["start"] <= F.col("target_chars"))).alias("within_limit"),
+        F.forall(after, lambda p: p["core"] - p["start"] >= F.least(asked, p["core"])).alias("overlapping"),
+        (joined & (first["start"] == 0) & (first["core"] == 0) & (last["end"] == F.col("n_chars"))).alias("whole"),
+    )
+
+
 def _markup_rows(spark: SparkSession, sf: str) -> DataFrame:
     documents = read(spark, sf, "documents").select(F.lit("document").alias("src"), F.col("doc_id").alias("item_id"), F.col("source").alias("host"), "text")
     sections = read(spark, sf, "sections").select(
@@ -181,7 +198,7 @@ def p10_statistics(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     listed = (
-        p1_found, p1_languages, p3_found, p4_found, p4_chunk_points, p5_found, p6_found, p6_pieces, p7_found, p7_clean_text, p8_found, p8_leaks,
+        p1_found, p1_languages, p3_found, p4_found, p4_chunk_points, p5_found, p6_found, p6_pieces, p6_invariants, p7_found, p7_clean_text, p8_found, p8_leaks,
         p9_found, p9_shares, p9_curriculum, p10_found, p10_statistics,
     )
     return {f.__name__: f for f in listed}
@@ -227,6 +244,12 @@ def oracle_sql() -> dict[str, str]:
             SELECT src, item_id,
                    (coalesce(list_max(list_transform(regexp_extract_all(text, {_STRETCH}), lambda x: length(x))), 0) > target_chars)::INTEGER AS unbroken
             FROM t JOIN chunk_configs ON owner = tenant_id WHERE length(text) > target_chars""",
+        "p6_invariants": """
+            WITH t AS (
+                SELECT 'document' AS src, doc_id::VARCHAR AS item_id, source AS owner, text FROM documents
+                UNION SELECT 'chunk', chunk_id, tenant_id, text FROM chunks)
+            SELECT src, item_id, length(text) AS n_chars, true AS within_limit, true AS overlapping, true AS whole
+            FROM t JOIN chunk_configs ON owner = tenant_id WHERE length(text) > target_chars""",
         # the cases are the same for any usual tokenizer; characters stand for tokens here
         "p9_found": """
             WITH s AS (SELECT source, sum(length(text)) AS n FROM documents GROUP BY source), z AS (SELECT sum(n) AS all_n FROM s)

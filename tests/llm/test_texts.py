@@ -1,6 +1,7 @@
 """Language, statistics, sentences, splitting, markup, leakage, mixing: operators on small cases and edges."""
 
 import random
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -147,6 +148,12 @@ def test_sentence_frame(spark):
 # ---- splitting
 
 
+def test_stretch_behind_a_boundary_cut():
+    text = "a b. " * 20 + "\n\n" + "x" * 300 + "\n\n" + "a b. " * 20
+    cuts = [p[2] for p in splitting.bisect_text(text, 100, 10)[1:]]
+    assert 102 in cuts and splitting.cut_stretch(text, cuts) == 300
+
+
 @given(st.text(alphabet="abc .!?\n,。", max_size=600), st.integers(2, 60), st.integers(0, 40))
 @settings(max_examples=300, deadline=None)
 def test_pieces_fit_and_rebuild(text, limit, overlap):
@@ -154,13 +161,22 @@ def test_pieces_fit_and_rebuild(text, limit, overlap):
     assert all(0 < b - a <= limit for a, b, _, _ in pieces)
     assert "".join(text[core:b] for _, b, core, _ in pieces) == text
     kept = max(0, min(overlap, (limit - 1) // 2))
-    assert all(core - a == min(kept, core) for a, _, core, _ in pieces)
+    assert all(core - a >= min(kept, core) for a, _, core, _ in pieces)
+    # the cuts show every stretch above the limit, as measuring the whole text does
+    stretch = max((len(x) for x in re.split(r"[\s.!?…。！？]+", text)), default=0)
+    cut = splitting.cut_stretch(text, [p[2] for p in pieces[1:]])
+    assert cut <= stretch and (cut > limit) == (stretch > limit)
 
 
 def test_cuts_at_paragraph_and_hard():
     text = "a" * 40 + "\n\n" + "b" * 40
     assert [p[:3] for p in splitting.bisect_text(text, 50, 0)] == [(0, 42, 0), (42, 82, 42)]
     assert any(p[3] == 0 for p in splitting.bisect_text("x" * 100, 30, 5))
+    far = "a" * 8 + "\n\n" + "b" * 90  # the only boundary lies far from the middle and keeps its strength
+    assert (10, 5) in [(p[2], p[3]) for p in splitting.bisect_text(far, 95, 0)]
+    worded = " ".join(f"word{i:03d}" for i in range(60))
+    starts = [a for a, _, _, _ in splitting.bisect_text(worded, 100, 20)]
+    assert len(starts) > 4 and all(a == 0 or worded[a - 1] == " " for a in starts)
 
 
 def test_split_frame(spark):
@@ -168,7 +184,7 @@ def test_split_frame(spark):
     df = spark.createDataFrame(rows, "src string, item_id string, owner string, text string").withColumn("target_chars", F.lit("clash"))
     limits = spark.createDataFrame([("o", 20, 5), ("o", 20, 5), ("none", None, None)], "owner string, target_chars int, overlap_chars int")
     got = {r.item_id: r for r in splitting.split_oversized(df.select("src", "item_id", "owner", "text"), limits).collect()}
-    assert set(got) == {"1", "2"} and got["1"].longest == 50 and got["2"].longest == 1 and got["2"].hard_cuts == 0
+    assert set(got) == {"1", "2"} and got["1"].longest == 50 and got["2"].longest == 0 and got["2"].hard_cuts == 0
 
 
 # ---- markup

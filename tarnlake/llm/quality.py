@@ -3,10 +3,14 @@
 One Arrow pass per document, no shuffle.  Each document yields counts (words, mean word length,
 symbol share, share of lines that end in punctuation, share of common words), repetition figures
 (share of repeated lines and paragraphs, character share of the most frequent word pairs and
-triples) and the share of its characters that stand in prose, list entries, table rows and junk.
+triples) and the share of its characters that stand in prose, boilerplate, list entries, table rows and
+junk.  The kind follows from both: what the lines look like as prose is boilerplate where the repetition
+figures speak against it, namely the further copies of sentences that make up a tenth of the prose and
+stand there COPIES times or more, and whole lines or texts that one pair of words dominates.
 
 Defined results: null text gives null figures and kind; empty or blank text gives zeros and a null
-kind.  Whole texts are read whatever their length.  Repeated ids give repeated rows.
+kind; a text that is all markup is prose.  Whole texts are read whatever their length.  Repeated ids give
+repeated rows.
 """
 
 from __future__ import annotations
@@ -43,7 +47,7 @@ _WORD_EDGE = ".,;:!?…\"'“”„«»()[]{}<>*_~`|"
 _SENTENCE_END = re.compile(r"[.!?。！？।؟…:;](?:[\"”“’»」』)\]*_~}`']|\[[^\]\n]*\]|</?\w+ ?/?>)*$")
 _TAG = re.compile(r"<[/!]?[A-Za-z][^<>\n]{0,300}>|<!--.*?-->")
 _MARKUP_LINE = re.compile(
-    r"(?:#{1,6} .*|={1,6} .* ={1,6}|[=\-~_*]{3,}|\\(?:begin|end|sub|section|chapter|item)\b.*|```.*|\{\|.*|\|\}|\|-|!.*!!.*|\|[\s:|\-]+\|?|\{\{.*\}\}|<h\d.*)$",
+    r"(?:#{1,6} .*|={1,6} .* ={1,6}|[=\-~_*]{3,}|\\(?:begin|end|sub|section|chapter|item)\b.*|```.*|\{\|.*|\|\}|\|-|!\s*\w.*!!.*|\|[\s:|\-]+\|?|\{\{.*\}\}|<h\d[^<>]*>[^<]*</h\d>)$",
     re.IGNORECASE,
 )
 _BULLET = re.compile(r"(?:[–—•*\-·▪◦]|\(?\d{1,3}[.)]|\(?[A-Za-z][.)]|\d+(?:\.\d+)+\.?)\s+")
@@ -58,7 +62,11 @@ _INNER_END = re.compile(r"[a-zà-ÿğışçöüəа-я\d][.!?] [A-ZÀ-ÝĞİŞÇ
 _GAPS = re.compile(r"\s{2,}")
 _BLANK_LINES = re.compile(r"\n[^\S\n]*\n")
 
-KINDS = ("prose", "list", "table", "junk")
+_UNIT = re.compile(r"[^.!?。！？।؟…\n]+")
+
+KINDS = ("prose", "boilerplate", "list", "table", "junk")
+COPIES = 5  # a sentence with fewer copies is no boilerplate
+DOMINANT = 0.5  # share of a line's or text's characters in one repeated pair of words
 
 
 def _cells(line: str) -> int:
@@ -95,8 +103,6 @@ def _senseless(line: str) -> bool:
         single = sum(len(w) == 1 for w in words)
         if single > 0.6 * len(words):
             return True
-        if len({w.lower() for w in words}) <= max(2, 0.08 * len(words)):
-            return True
     if letters >= 20 and line.isascii() | bool(re.search("[a-zA-Z]", line)):
         latin = len(re.findall("[a-zA-Z]", line))
         if latin > 0.5 * letters and len(_VOWEL.findall(line)) < 0.26 * letters:
@@ -104,13 +110,28 @@ def _senseless(line: str) -> bool:
     return False
 
 
-def classify_lines(text: str, common_share: float) -> tuple[int, int, int, int]:
-    """Characters of a text in prose, list entries, table rows and junk; headings and markup lines count as none."""
-    prose = listed = table = junk = 0
+def _dominated(words: list[str]) -> bool:
+    """True where one pair of words, repeated, makes up most of the characters."""
+    return len(words) >= 12 and _top_share(words, 2, sum(map(len, words))) >= DOMINANT
+
+
+def boilerplate_chars(lines: list[str]) -> int:
+    """Characters in the further copies of sentences that recur and make up a good part of the lines."""
+    units = [u for line in lines for u in map(str.strip, _UNIT.findall(line)) if u]
+    if len(units) < COPIES:
+        return 0
+    least = 0.1 * sum(map(len, units))
+    return sum(len(u) * (k - 1) for u, k in Counter(units).items() if k >= COPIES and k * len(u) >= least)
+
+
+def classify_lines(text: str, common_share: float) -> tuple[int, int, int, int, int]:
+    """Characters of a text in prose, boilerplate, list entries, table rows and junk; headings and markup lines count as none."""
+    prose = boilerplate = listed = table = junk = 0
+    prose_lines: list[str] = []
     suspect = common_share < 0.04 or len(_MOJIBAKE.findall(text)) > 0.03 * len(text)
     lines = [s for s in (x.strip() for x in text.split("\n")) if s]
-    entries: list[tuple[int, int, bool]] = []  # the current run of short lines: length, words, goes on from the line before
-    rows: list[int] = []
+    entries: list[tuple[int, int, bool, str]] = []  # the current run of short lines: length, words, goes on from the line before, text
+    rows: list[str] = []
 
     def close_entries(by_sentence: bool = False) -> None:
         nonlocal prose, listed
@@ -122,23 +143,27 @@ def classify_lines(text: str, common_share: float) -> tuple[int, int, int, int]:
             listed += size
         else:
             prose += size
+            prose_lines.extend(e[3] for e in entries)
         entries.clear()
 
     def close_rows() -> None:
         nonlocal prose, table
+        size = sum(map(len, rows))
         if len(rows) >= 2:
-            table += sum(rows)
+            table += size
         else:
-            prose += sum(rows)
+            prose += size
+            prose_lines.extend(rows)
         rows.clear()
 
     for line in lines:
-        if not suspect and len(line) > 40 and line.count(" ") >= 5 and "\t" not in line and _SENTENCE_END.search(line):
+        if not suspect and len(line) > 40 and 5 <= line.count(" ") < len(line) / 3 and "\t" not in line and _SENTENCE_END.search(line):
             if entries:
                 close_entries(True)
             if rows:
                 close_rows()
             prose += len(line)
+            prose_lines.append(line)
             continue
         bare = _TAG.sub("", line).strip() if "<" in line else line
         if not bare or _MARKUP_LINE.match(line):
@@ -161,12 +186,12 @@ def classify_lines(text: str, common_share: float) -> tuple[int, int, int, int]:
             if not _MACHINE.search(bare) and n < 60 * cells:
                 if entries:
                     close_entries()
-                rows.append(n)
+                rows.append(bare)
                 continue
         if _LEADER.search(bare):
             if rows:
                 close_rows()
-            entries.append((n, n_words, False))
+            entries.append((n, n_words, False, bare))
             continue
         if _senseless(bare):
             if entries:
@@ -179,16 +204,22 @@ def classify_lines(text: str, common_share: float) -> tuple[int, int, int, int]:
         if n_words <= 8 and n <= 90 and not inner_end and not _WIDE.search(bare) and (not ended or bare.endswith((":", ";")) or (marker and n_words <= 6)):
             if rows:
                 close_rows()
-            entries.append((n, n_words, not marker and bare[0].islower()))
+            entries.append((n, n_words, not marker and bare[0].islower(), bare))
             continue
         if entries:
             close_entries(ended or bool(inner_end))
         if rows:
             close_rows()
         prose += n
+        prose_lines.append(bare)
     close_entries()
     close_rows()
-    return prose, listed, table, junk
+    if prose:
+        for line in prose_lines:
+            if _dominated(line.lower().split()):
+                boilerplate += len(line)
+        boilerplate = min(prose, max(boilerplate, boilerplate_chars(prose_lines)))
+    return prose - boilerplate, boilerplate, listed, table, junk
 
 
 def _top_share(words: list[str], size: int, total: int) -> float:
@@ -214,11 +245,14 @@ def text_profile(text: str) -> tuple:
         letters_digits += len(_VOWEL_SIGN.findall(text))
     ends = sum(1 for s in lines if _SENTENCE_END.search(s))
     common_share = common / n_words if n_words else 0.0
-    prose, listed, table, junk = classify_lines(text, common_share)
-    total = prose + listed + table + junk
+    pair_share, triple_share = _top_share(lowered, 2, packed), _top_share(lowered, 3, packed)
+    prose, boilerplate, listed, table, junk = classify_lines(text, common_share)
+    if n_words >= 12 and pair_share >= DOMINANT and not listed and not table:  # also where each line holds few words
+        prose, boilerplate = 0, boilerplate + prose
+    total = prose + boilerplate + listed + table + junk
     kind = None
     if total:
-        kind = "prose" if 2 * prose >= total else max(((listed, "list"), (table, "table"), (junk, "junk")))[1]
+        kind = "prose" if 2 * prose >= total else max(((listed, "list"), (table, "table"), (junk, "junk"), (boilerplate, "boilerplate")))[1]
     elif packed:
         kind = "prose"
     return (
@@ -230,9 +264,10 @@ def text_profile(text: str) -> tuple:
         common_share,
         1 - len(set(lines)) / len(lines) if lines else 0.0,
         1 - len(set(paragraphs)) / len(paragraphs) if paragraphs else 0.0,
-        _top_share(lowered, 2, packed),
-        _top_share(lowered, 3, packed),
+        pair_share,
+        triple_share,
         prose / total if total else 0.0,
+        boilerplate / total if total else 0.0,
         listed / total if total else 0.0,
         table / total if total else 0.0,
         junk / total if total else 0.0,
@@ -243,9 +278,9 @@ def text_profile(text: str) -> tuple:
 FIGURES = (
     "n_chars int, n_words int, mean_word_len double, symbol_ratio double, end_punct_share double, common_word_share double, "
     "dup_line_share double, dup_paragraph_share double, top_pair_share double, top_triple_share double, "
-    "prose_share double, list_share double, table_share double, junk_share double, kind string"
+    "prose_share double, boilerplate_share double, list_share double, table_share double, junk_share double, kind string"
 )
-_TYPES = [pa.int32(), pa.int32(), *[pa.float64()] * 12, pa.string()]
+_TYPES = [pa.int32(), pa.int32(), *[pa.float64()] * 13, pa.string()]
 _NAMES = [f.split()[0] for f in FIGURES.split(", ")]
 
 
@@ -268,6 +303,6 @@ def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def non_prose(stats: DataFrame) -> DataFrame:
-    """The rows more than half of which is no prose."""
-    wanted: Column = F.col("kind").isin("list", "table", "junk")
-    return stats.filter(wanted)
+    """The rows more than half of which is no prose; boilerplate is a sort of junk (machine output)."""
+    kind: Column = F.when(F.col("kind") == "boilerplate", "junk").otherwise(F.col("kind"))
+    return stats.filter(F.col("kind") != "prose").withColumn("kind", kind)

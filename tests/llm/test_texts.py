@@ -75,7 +75,7 @@ def test_kinds():
     assert kind("\n".join(f"A{i},name,2024-01-0{i}" for i in range(1, 6))) == "table"
     assert kind("\n".join(f"A{i}   name   2024-01-0{i}" for i in range(1, 6))) == "table"
     assert kind("qwrt sdfg hjkl qwrtş dfghj kşlw rtqs dfgh jklş wrtq sdfg hjkl wrtp") == "junk"
-    assert kind("test " * 50) == "junk" and kind("7 42 8812 9 3344 5 66 90812 4 17 88") == "junk"
+    assert kind("page " * 50) == "boilerplate" and kind("test " * 50) == "junk" and kind("7 42 8812 9 3344 5 66 90812 4 17 88") == "junk"
     assert kind(";:%! §¬ ?+ :;  ¤¤ @/ (%) !! ;; ¬¬ §§ :: %% ?? ++") == "junk"
     for t in (TR, EN, DE, RU, JA, ZH, EN.upper(), "\n".join(EN.split(". ")), f"<h2>T</h2>\n<p>{EN}</p>"):
         assert kind(t) == "prose", t
@@ -99,6 +99,24 @@ def test_repetition_figures():
     assert p["dup_line_share"] == pytest.approx(1 / 3) and p["dup_paragraph_share"] == 0 and p["top_pair_share"] > 0.8
 
 
+def test_repetition_decides(monkeypatch):
+    line = "This page was last changed by the records office of the council on the first day of the month."
+    for text in ("\n".join([line] * 40), " ".join([line] * 40), line + "\n\n" + " ".join(["Copy this page to your folder and send it on."] * 30)):
+        assert kind(text) == "boilerplate"
+    assert kind("\n".join([line, EN, TR])) == "prose" and kind(f"{line} {line}\n\n{EN}") == "prose"
+    assert kind("one two\n" * 30) in ("boilerplate", "list")
+    assert kind(f"{EN}\n\n{EN}\n\n" + "click " * 5) == "prose"
+    monkeypatch.setattr(quality, "boilerplate_chars", lambda lines: 0)
+    assert kind("\n".join([line] * 40)) == "prose"  # without the figures the lines alone look like prose
+
+
+def test_broken_letters_and_noise():
+    spaced = " ".join(EN.replace(" ", ""))
+    assert kind(spaced) == "junk" and kind(f"{spaced}\n\n{spaced}") == "junk" and kind(f"{EN}\n{EN}\n{EN}\n{spaced}") == "prose"
+    assert kind("!% ));?( ??@?¬ @: +¬ ; ¬@; (¬¬@¬%?!!;+% :: ?)+ ¤§¬¬! :  ( ?:/¤¬¬(? :§?:!?¤%;:¤% :)") == "junk"
+    assert kind(f"<h2>T</h2><p>{EN}</p>") == "prose" and kind("! Name !! Date\n" + EN) == "prose"
+
+
 # ---- sentences
 
 

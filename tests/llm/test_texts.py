@@ -272,12 +272,21 @@ def test_split_and_joined_words():
     rng = random.Random(4)
     words = passage(rng, 40).split()
     words[9], words[20] = "koprusu'nun", "gorunur"
-    index = leakage.ItemIndex([(1, " ".join(words))])
     held = words[:20] + ["goru.nur"] + words[21:]
     text = "before it " + " ".join(held).replace("'", " ").replace("goru.nur", "gorunu.r") + " after it"
-    doc = leakage.np.array([index.vocabulary.get(w, 0) for w in leakage.folded_words(text)])
-    n, changes, start, begin = leakage.best_stretch(doc, index.words[0], leakage.np.array([2]))
-    assert (n, changes, start, begin) == (41, 1, 2, 0)
+    item = leakage.word_hashes(" ".join(words))
+    assert leakage.best_stretch(leakage.word_hashes(text), item, leakage.np.array([2])) == (41, 1, 2, 0)
+
+
+def test_guaranteed_run():
+    """The run that every sufficient stretch holds, against all ways to spread the changes."""
+    for m in range(1, 30):
+        worst = m
+        for n in range(m, 2 * m + 16):
+            c = n // 8
+            worst = min(worst, -(-(n - c) // (c + 1)))
+        assert leakage.guaranteed_run(m) == worst
+    assert [leakage.guaranteed_run(m) for m in (1, 4, 9, 10, 17, 18, 49)] == [1, 4, 4, 5, 5, 6, 7]
 
 
 def test_leaks_against_brute_force(spark):
@@ -297,7 +306,7 @@ def test_leaks_against_brute_force(spark):
         docs.append((d, passage(rng, 20) + " " + rng.choice([" ", "\n"]).join(piece) + ". " + passage(rng, 20)))
     docs += [(200, None), (201, ""), (202, "short"), (203, docs[0][1])]
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit(5))
-    it = spark.createDataFrame([*items, items[0], (99, None)], "item_id long, passage string")
+    it = spark.createDataFrame([*items, items[0], (99, None), (98, " !? ")], "item_id long, passage string")
     want = {(d, i) for d, t in docs for i, p in items if brute(t, p)}
     for block in (5, 1000):
         got = {(r.doc_id, r.item_id) for r in leakage.find_leaks(df, it, block_items=block).collect()}
@@ -305,14 +314,38 @@ def test_leaks_against_brute_force(spark):
     assert leakage.find_leaks(df.limit(0), it).count() == 0 and leakage.find_leaks(df, it.limit(0)).count() == 0
 
 
-def test_same_subject_is_no_leak():
+def test_short_items_and_changes_at_every_place(spark):
+    """Items of 5 to 60 words, the shortest sufficient stretch, changes spread so that runs are as short as they can be or anywhere."""
+    rng = random.Random(5)
+    items, docs = [], []
+    for i, n in enumerate([5, 6, 8, 10, 12, 14, 17, 20, 22, 23, 25, 26, 30, 38, 40, 45, 52, 60]):
+        words = [f"w{i}x{k}" for k in range(n)]
+        items.append((i, " ".join(words)))
+        m = leakage.needed(n)
+        for size in {m - 1, m, min(n, m + 3), min(n, 8), min(n, 16)} - {0}:
+            for at in {0, (n - size) // 2, n - size}:
+                piece = words[at : at + size]
+                c = size // 8
+                spread_out = [round((k + 1) * size / (c + 1)) - 1 for k in range(c)]
+                for changed in (spread_out, sorted(rng.sample(range(size), c)), sorted(rng.sample(range(size), min(size, c + 1)))):
+                    text = [("changed" if k in changed else w) for k, w in enumerate(piece)]
+                    docs.append((len(docs), "some text before " + " ".join(text) + " and after"))
+    want = {(d, i) for d, t in docs for i, p in items if brute(t, p)}
+    df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, passage string")
+    got = {(r.doc_id, r.item_id) for r in leakage.find_leaks(df, it, telling=0.0).collect()}
+    assert want <= got and all(brute(docs[d][1], items[i][1]) for d, i in got)
+    assert {(r.doc_id, r.item_id) for r in leakage.find_leaks(df, it, telling=0.0, block_items=3).collect()} == got
+    assert {(r.doc_id, r.item_id) for r in leakage.find_leaks(df, it, telling=0.0, block_words=40).collect()} == got
+
+
+def test_same_subject_is_no_leak_whatever_the_block(spark):
     common = "the council of {} paid {} crowns to the ferry crews of {} who had carried {} commuters each dawn over the old bridge near {}"
     rng = random.Random(3)
-    items = [(i, common.format(*(f"name{rng.randint(0, 10**6)}" for _ in range(5)))) for i in range(40)]
-    index = leakage.ItemIndex(items)
-    a, b = index.words[0], index.words[1]
-    n, _, start, begin = leakage.best_stretch(a, b, leakage.np.array([0]))
-    assert n > 15 and not leakage._told_apart(a[start : start + n], b[begin : begin + n], index.telling)
+    items = [(i, common.format(*(f"name{rng.randint(0, 10**6)}" for _ in range(5)))) for i in range(12)]
+    text = common.format(*(f"other{k}" for k in range(5)))
+    df, it = spark.createDataFrame([(1, text), (2, items[0][1])], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, passage string")
+    for block in (3, 1000):
+        assert [(r.doc_id, r.item_id) for r in leakage.find_leaks(df, it, block_items=block).collect()] == [(2, 0)]
 
 
 # ---- mixing

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.llm.markup import clean_text, find_kinds
+from tarnlake.llm.markup import extract
 from tarnlake.session import checkpointed, prepare, spread
 
 SHINGLE = 5
@@ -59,9 +59,7 @@ _LINE_HYPHEN = re.compile(r"(?<=[^\W\d_])[-\u2010]\n\s*(?=[^\W\d_])")
 def folded_words(text: str) -> list[str]:
     """Words without case, accents and punctuation; markup and line-end hyphens aside."""
     if _MARKED.search(text):
-        kinds = find_kinds(text)
-        if kinds:
-            text = clean_text(text, kinds)
+        text = extract(text)[0]
     if "-\n" in text or "\u2010\n" in text:
         text = _LINE_HYPHEN.sub("", text)
     text = text.lower()

@@ -220,11 +220,11 @@ KIND_CASES = [
 
 @pytest.mark.parametrize("text,want", KIND_CASES)
 def test_markup_kinds(text, want):
-    assert markup.find_kinds(text) == want
+    assert markup.extract(text)[1] == want
 
 
 def cleaned(text):
-    return markup.clean_text(text, markup.find_kinds(text))
+    return markup.extract(text)[0]
 
 
 def test_clean_text():
@@ -246,6 +246,39 @@ def test_host_votes_drop_link_bars(spark):
     assert markup.clean_markup(df.limit(0)).count() == 0
 
 
+def test_every_page_has_one_vote(spark):
+    """A long page does not outvote the others, menus lose in their host only, and what loses shows no kind of its own."""
+    menu = "<ul class=\"menu7\"><li><a href=\"a\">Home '''x''' of pages</a></li><li><a href=\"b\">Next page of these</a></li></ul>"
+    page = menu.replace("7", "{0}") + '<div class="c{0}"><p>' + EN + "</p></div>"
+    rows = [("d", i, "h", page.replace("{0}", str(i))) for i in range(5)]
+    rows += [("d", 10, "h", '<ul class="menu1"><li>' + (EN + " ") * 400 + "</li></ul>")]  # one page that uses the same path for text
+    rows += [("d", 20, "g", '<ul class="menu1"><li>' + EN + "</li></ul>"), ("d", 21, None, menu)]
+    df = spark.createDataFrame(rows, "src string, item_id long, host string, text string")
+    votes = {(r.host, r.path): (r.votes_for, r.votes_against) for r in markup.host_votes(df.repartition(3)).collect()}
+    assert votes["h", "ul.menu#>li"] == (1, 5) and votes["g", "ul.menu#>li"] == (1, 0) and votes["h", "div.c#>p"] == (5, 0)
+    got = {r.item_id: r for r in markup.clean_markup(df).collect()}
+    assert all(got[i].clean == EN and list(got[i].kinds) == ["html"] for i in range(5))
+    assert got[10].clean.startswith("- App")  # the vote leaves nothing of this page, so it stays
+    assert got[20].clean == f"- {EN}" and "wiki" in got[21].kinds
+    votes = markup.host_votes(df)
+    plain, salted = (sorted(map(str, markup.with_losing_paths(df, votes, most_paths=n).select("item_id", "losing").collect())) for n in (100, 0))
+    assert plain == salted
+
+
+def test_no_bound_on_length_or_depth():
+    assert markup.extract("`" + "x" * 500 + "`")[1] == ["markdown"] and markup.extract("a *" + "x y " * 50 + "z* b")[1] == ["markdown"]
+    assert markup.extract("{{a|{{b|{{c|{{d|{{e|f}}}}}}}}}} rest") == ("rest", ["wiki"])
+    assert markup.extract("\\a{\\b{\\c{\\d{\\e{deep}}}}}") == ("deep", ["latex"])
+    assert markup.extract("a $" + "x" * 300 + "$ b")[1] == ["latex"]
+
+
+def test_one_kind_makes_no_other():
+    text = "<h2>T</h2><ul><li>one</li></ul>\n\\section{S}\n\\begin{itemize}\n\\item x\n\\end{itemize}\n$a_{1}*b*c$"
+    clean, kinds = markup.extract(text)
+    assert kinds == ["html", "latex"] and clean.startswith("## T\n- one") and "## S\n- x" in clean and "$a_{1}*b*c$" in clean
+    assert markup.extract(" x  1")[1] == []
+
+
 # ---- leakage
 
 

@@ -228,8 +228,11 @@ def _em(block_like: np.ndarray, doc_of: np.ndarray, first: np.ndarray, active: n
     return pi, ll
 
 
-def infer(texts: list[str | None], logp: np.ndarray) -> list[list[tuple[int, str | None, float]]]:
-    """For each text its rows (seg_no, language, confidence): seg_no 0, or its paragraphs where it mixes languages."""
+def infer(texts: list[str | None], logp: np.ndarray, segments: bool = True) -> list[list[tuple[int, str | None, float]]]:
+    """For each text its rows (seg_no, language, confidence): seg_no 0, or its paragraphs where it mixes languages.
+
+    Without ``segments`` a text in several languages has the one with the largest share.
+    """
     out: list[list[tuple[int, str | None, float]]] = [[(0, None, 0.0)] for _ in texts]
     pieces, block_first, block_key, offset = [], [], [], 0
     scripts, starts = [], []
@@ -330,9 +333,9 @@ def infer(texts: list[str | None], logp: np.ndarray) -> list[list[tuple[int, str
     runner = whole[np.arange(len(text_ids)), second]
     single_conf = 1 / (1 + np.exp(-np.clip(best - runner, 0, 50)))
     for d, i in enumerate(text_ids):
-        if not several[d]:
+        if not several[d] or not segments:
             lang = int(np.argmax(share[d]))
-            out[i] = [(0, LANGUAGES[lang], float(single_conf[d] if lang == top[d] else share[d, lang]))]
+            out[i] = [(0, LANGUAGES[lang], float(single_conf[d] if lang == top[d] and not several[d] else share[d, lang]))]
             continue
         b0 = doc_first[d]
         b1 = b0 + starts[d]
@@ -381,8 +384,8 @@ def fit_model(spark: SparkSession, sources: list[DataFrame], per_label: int = 15
     return train(samples)
 
 
-def detect_languages(rows: DataFrame, model: np.ndarray, judge_prose: bool = False) -> DataFrame:
-    """Language of every row, or of each of its paragraphs.
+def detect_languages(rows: DataFrame, model: np.ndarray, judge_prose: bool = False, segments: bool = True) -> DataFrame:
+    """Language of every row, or of each of its paragraphs; without ``segments`` the one with the largest share.
 
     ``rows`` has src, item_id, lang, text and may have more columns, all of which except text are kept.
     Adds seg_no, detected, confidence and kind.  With judge_prose, kind holds what problem 10's rules
@@ -401,7 +404,7 @@ def detect_languages(rows: DataFrame, model: np.ndarray, judge_prose: bool = Fal
             table = pa.Table.from_batches([batch])
             for start in range(0, batch.num_rows, 512):
                 part = table.slice(start, 512)
-                found = infer(part.column("text").to_pylist(), logp)
+                found = infer(part.column("text").to_pylist(), logp, segments)
                 index = pa.array([i for i, rs in enumerate(found) for _ in rs], pa.int64())
                 flat = [r for rs in found for r in rs]
                 columns = [part.column(c).take(index).combine_chunks() for c in kept]

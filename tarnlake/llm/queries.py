@@ -16,7 +16,7 @@ def _language_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     queries = read(spark, sf, "eval_queries").select(F.lit("query").alias("src"), F.col("query_id").alias("item_id"), "lang", "text")
     documents = read(spark, sf, "documents").select(F.lit("document").alias("src"), F.col("doc_id").cast("string").alias("item_id"), "lang", "text")
     model = language.fit_model(spark, [read(spark, sf, "documents").select("text", "lang"), read(spark, sf, "ingest_messages").select("text", "lang")])
-    short = language.detect_languages(spread(messages.unionByName(queries)), model)
+    short = language.detect_languages(spread(messages.unionByName(queries)), model, segments=False)  # messages and queries are single texts
     whole = language.detect_languages(spread(documents), model, judge_prose=True)
     return short, whole
 
@@ -24,8 +24,6 @@ def _language_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     """Texts with a missing or false label, and the paragraphs of documents in several languages."""
     short, whole = _language_rows(spark, sf)
-    # messages and queries are single texts: of several languages the one with most evidence stands first
-    short = short.filter(F.col("seg_no") <= 1).withColumn("seg_no", F.lit(0))
     cases = language.language_cases(short).unionByName(language.language_cases(whole).filter(F.col("kind") == "prose"))
     return cases.select("src", "item_id", "seg_no", F.col("detected").alias("lang")).dropDuplicates(["src", "item_id", "seg_no"])
 

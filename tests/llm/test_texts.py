@@ -40,6 +40,13 @@ def test_single_and_mixed(model):
     assert all(0 <= c <= 1 for g in got for _, _, c in g)
 
 
+def test_single_texts_take_the_largest_share(model):
+    text = f"{DE}\n\n{TR} {TR}\n\n{TR}"
+    assert [r[0] for r in language.infer([text], model)[0]] == [1, 2, 3]
+    (row,) = language.infer([text], model, segments=False)[0]
+    assert row[:2] == (0, "tr") and 0.5 < row[2] < 1
+
+
 def test_long_text_and_noise(model):
     noise = "A1b2C3d4" * 60
     got = language.infer([(EN + " ") * 3000 + "\n\n" + noise + "\n\n" + EN], model)[0]

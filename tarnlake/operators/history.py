@@ -6,8 +6,12 @@ between hold a patch of what changed.  ``reconstruct`` folds the patches forward
 checkpoint, inside blocks that never grow beyond ``every`` rows, so even one entity with a third of
 all rows is rebuilt by many tasks.
 
-Only keys, times and hashes of the attributes are shuffled, never the texts.  The fold streams over
-sorted partitions and holds the versions of one entity at a time.
+The store names attribute values by their hash; ``attribute_values`` keeps each value of an entity once
+under that hash, and ``as_of`` reads the values that held at a moment.  ``append`` folds new submissions,
+late ones too, by rebuilding the entities they touch and carrying all others over.
+
+Only keys, times and hashes of the attributes are shuffled for the store, never the texts.  The fold streams
+over sorted partitions and holds the versions of one entity at a time.
 
 Defined results: null attributes count as empty; rows with a null key or a null publication time
 are void; re-deliveries of a submission act once; equal publication times are ordered by the
@@ -25,6 +29,7 @@ from pyspark.sql import functions as F
 
 from tarnlake.session import prepare
 
+BLOCK = 1024  # versions that a block of a timeline holds at most
 OPEN_END = "9999-12-31 23:59:59"
 
 
@@ -34,41 +39,76 @@ def squeezed(text: Column) -> Column:
 
 
 class _Timeline:
-    """Versions of one entity: start times in order, each with its content."""
+    """Versions of one entity in order of their start, in blocks, so that inserting into a long history stays cheap."""
 
-    __slots__ = ("starts", "contents", "first_job")
+    __slots__ = ("firsts", "blocks", "first_job")
 
     def __init__(self) -> None:
-        self.starts: list[int] = []
-        self.contents: list[tuple] = []
+        self.firsts: list[int] = []  # start of the first version of each block
+        self.blocks: list[tuple[list[int], list[tuple]]] = []
         self.first_job: dict[tuple, str] = {}
 
+    def versions(self) -> Iterator[tuple[int, tuple]]:
+        for starts, contents in self.blocks:
+            yield from zip(starts, contents, strict=True)
+
     def apply(self, content: tuple, valid_from: int | None, correction: bool, published: int, job: str) -> None:
         self.first_job.setdefault(content, job)
+        if correction and valid_from is None:
+            b, at = len(self.blocks) - 1, len(self.blocks[-1][0]) - 1 if self.blocks else -1
+        else:
+            start = published if valid_from is None else valid_from
+            b = bisect_right(self.firsts, start) - 1
+            at = bisect_right(self.blocks[b][0], start) - 1 if b >= 0 else -1
         if correction:
-            at = len(self.starts) - 1 if valid_from is None else bisect_right(self.starts, valid_from) - 1
             if at >= 0:
-                self.contents[at] = content
-                self._join(at)
+                self.blocks[b][1][at] = content
+                self._join(b, at)
             return
-        start = published if valid_from is None else valid_from
-        at = bisect_right(self.starts, start) - 1
-        if at >= 0 and self.starts[at] == start:
-            self.contents[at] = content
-        elif at >= 0 and self.contents[at] == content:
+        if at >= 0 and self.blocks[b][0][at] == start:
+            self.blocks[b][1][at] = content
+        elif at >= 0 and self.blocks[b][1][at] == content:
             return
         else:
-            at += 1
-            self.starts.insert(at, start)
-            self.contents.insert(at, content)
-        self._join(at)
+            b, at = max(b, 0), at + 1
+            self._insert(b, at, start, content)
+            if len(self.blocks[b][0]) > BLOCK:
+                b, at = self._halve(b, at)
+        self._join(b, at)
+
+    def _insert(self, b: int, at: int, start: int, content: tuple) -> None:
+        if not self.blocks:
+            self.blocks.append(([], []))
+            self.firsts.append(start)
+        starts, contents = self.blocks[b]
+        starts.insert(at, start)
+        contents.insert(at, content)
+        self.firsts[b] = starts[0]
+
+    def _halve(self, b: int, at: int) -> tuple[int, int]:
+        starts, contents = self.blocks[b]
+        half = len(starts) // 2
+        self.blocks[b : b + 1] = [(starts[:half], contents[:half]), (starts[half:], contents[half:])]
+        self.firsts[b : b + 1] = [starts[0], starts[half]]
+        return (b, at) if at < half else (b + 1, at - half)
+
+    def _delete(self, b: int, at: int) -> None:
+        starts, contents = self.blocks[b]
+        del starts[at], contents[at]
+        if starts:
+            self.firsts[b] = starts[0]
+        else:
+            del self.blocks[b], self.firsts[b]
 
-    def _join(self, at: int) -> None:
+    def _join(self, b: int, at: int) -> None:
         """Neighbours with equal content become one version; the earlier start stays."""
-        if at + 1 < len(self.starts) and self.contents[at + 1] == self.contents[at]:
-            del self.starts[at + 1], self.contents[at + 1]
-        if at > 0 and self.contents[at - 1] == self.contents[at]:
-            del self.starts[at], self.contents[at]
+        contents = self.blocks[b][1]
+        after = (b, at + 1) if at + 1 < len(contents) else (b + 1, 0)
+        before = (b, at - 1) if at else (b - 1, -1)
+        if after[0] < len(self.blocks) and self.blocks[after[0]][1][after[1]] == contents[at]:
+            self._delete(*after)
+        if before[0] >= 0 and self.blocks[before[0]][1][before[1]] == contents[at]:
+            self._delete(b, at)
 
 
 def build_store(
@@ -109,13 +149,12 @@ def build_store(
 
     def emit(key: tuple, line: _Timeline, out: list[list]) -> None:
         before: dict[str, str] = {}
-        n = len(line.starts)
-        for v in range(n):
-            content = line.contents[v]
+        versions = list(line.versions())
+        for v, (start, content) in enumerate(versions):
             now = {a: str(h) for a, h in zip(attributes, content, strict=True)} | {job: line.first_job[content]}
             full = v % every == 0
             patch = now if full else {a: x for a, x in now.items() if before.get(a) != x}
-            for c, x in zip(out, (*key, v + 1, line.starts[v], line.starts[v + 1] if v + 1 < n else None, full, list(patch.items())), strict=True):
+            for c, x in zip(out, (*key, v + 1, start, versions[v + 1][0] if v + 1 < len(versions) else None, full, list(patch.items())), strict=True):
                 c.append(x)
             before = now
 
@@ -163,6 +202,48 @@ def reconstruct(store: DataFrame, keys: Sequence[str] = ("tenant_id", "doc_id"),
     )
 
 
+def attribute_values(
+    submissions: DataFrame,
+    keys: Sequence[str] = ("tenant_id", "doc_id"),
+    attributes: Sequence[str] = ("title", "text"),
+    job: str = "job_id",
+    published: str = "published_at",
+) -> DataFrame:
+    """Every value an attribute of an entity ever had, once: the keys, attribute, hash (as in the store) and value.
+
+    Repeated values are dropped before the shuffle; of values that differ in white space only, the one published
+    first is kept.
+    """
+    each = F.inline(F.array(*[F.struct(F.lit(a).alias("attribute"), F.xxhash64(squeezed(F.col(a))).cast("string").alias("hash"), F.coalesce(F.col(a), F.lit("")).alias("value")) for a in attributes]))
+    present = F.col(published).isNotNull()
+    for k in keys:
+        present = present & F.col(k).isNotNull()
+    rows = submissions.filter(present).select(*[F.col(k).cast("string").alias(k) for k in keys], F.struct(F.col(published).alias("p"), F.col(job).alias("j")).alias("at"), each)
+    return rows.groupBy(*keys, "attribute", "hash").agg(F.min_by("value", "at").alias("value"))
+
+
+def as_of(store: DataFrame, values: DataFrame, moment: Column, keys: Sequence[str] = ("tenant_id", "doc_id"), attributes: Sequence[str] = ("title", "text"), every: int = 8) -> DataFrame:
+    """The version of every entity in force at a moment, with its attribute values read from the value table."""
+    at = F.unix_micros(moment.cast("timestamp"))
+    rows = reconstruct(store, keys, (*attributes, "job_id"), every)
+    rows = rows.filter((F.col("valid_from") <= at) & (F.col("valid_to").isNull() | (F.col("valid_to") > at))).drop("is_checkpoint")
+    for a in attributes:
+        mine = values.filter(F.col("attribute") == a).select(*keys, F.col("hash").alias(a), F.col("value").alias("_value"))
+        rows = rows.join(mine, [*keys, a], "left").drop(a).withColumnRenamed("_value", a)
+    return rows
+
+
+def append(store: DataFrame, so_far: DataFrame, new: DataFrame, keys: Sequence[str] = ("tenant_id", "doc_id"), **options: object) -> DataFrame:
+    """The store after new submissions; ``so_far`` are the submissions it was built from.
+
+    A late submission may change any version of its entity, so the entities of the new submissions are folded
+    again from all their submissions; every other entity's rows are taken over as they are.
+    """
+    touched = new.select(*[F.col(k).cast("string").alias(k) for k in keys]).na.drop().distinct()
+    again = so_far.join(touched, list(keys), "left_semi").unionByName(new)
+    return store.join(touched, list(keys), "left_anti").unionByName(build_store(again, keys, **options))  # type: ignore[arg-type]
+
+
 def as_text(micros: Column) -> Column:
     """A time as text to the second, an open end as the last moment of the year 9999."""
     return F.coalesce(F.date_format(F.timestamp_micros(micros), "yyyy-MM-dd HH:mm:ss"), F.lit(OPEN_END))

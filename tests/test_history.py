@@ -6,7 +6,8 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tarnlake.operators.history import attribute_history, build_store, reconstruct
+from tarnlake.operators import history
+from tarnlake.operators.history import append, as_of, attribute_history, attribute_values, build_store, reconstruct
 
 SCHEMA = "job_id string, tenant_id string, doc_id string, title string, text string, valid_from timestamp_ntz, correction boolean, published_at timestamp_ntz, received_at timestamp_ntz, attempts int, version int, valid_to string"
 T0 = datetime(2024, 1, 1)
@@ -54,6 +55,22 @@ def random_rows(seed):
     return rows
 
 
+@pytest.mark.parametrize("block", [1, 2, 5, 1024])
+def test_blocks_change_nothing(monkeypatch, block):
+    monkeypatch.setattr(history, "BLOCK", block)
+    for seed in range(30):
+        rows = random_rows(seed)
+        for d in {r[2] for r in rows}:
+            line, seen = history._Timeline(), set()
+            for r in sorted((r for r in rows if r[2] == d), key=lambda r: (r[7], r[0])):
+                if r[0] not in seen:
+                    seen.add(r[0])
+                    content = (" ".join((r[3] or "").split()), " ".join((r[4] or "").split()))
+                    line.apply(content, r[5] and int(r[5].timestamp()), r[6], int(r[7].timestamp()), r[0])
+            got = [(v + 1, datetime.fromtimestamp(s).strftime("%Y-%m-%d %H:%M:%S"), line.first_job[c]) for v, (s, c) in enumerate(line.versions())]
+            assert got == [(v, s, j) for v, s, _, j in replay([r for r in rows if r[2] == d])]
+
+
 @pytest.mark.parametrize("every", [1, 3, 8])
 def test_matches_replay(spark, every):
     rows = random_rows(5)
@@ -91,3 +108,35 @@ def test_one_hot_document(spark):
     rows = [(f"j{k:05d}", "t", "hot" if k % 3 == 0 else f"d{k}", "T", f"v{k % 7}", T0 + timedelta(minutes=k), False, T0 + timedelta(minutes=k), T0, 1, 0, "") for k in range(6000)]
     got = attribute_history(spark.createDataFrame(rows, SCHEMA))
     assert got.filter("doc_id = 'hot'").count() == 2000
+
+
+def test_values_are_read_back(spark):
+    """Title and text at a moment, as a correction and a late message left them."""
+    day = timedelta(days=1)
+    rows = [
+        ("a", "t", "d", "T", "one  text", T0, False, T0, T0, 1, 0, ""),
+        ("b", "t", "d", "T", "two", T0 + 10 * day, False, T0 + 10 * day, T0, 1, 0, ""),
+        ("c", "t", "d", "T", "one, mended", T0 + 3 * day, True, T0 + 12 * day, T0, 1, 0, ""),
+        ("e", "t", "d", "U", "between", T0 + 5 * day, False, T0 + 13 * day, T0, 1, 0, ""),
+        ("f", "t", "x", None, None, None, False, T0 + day, T0, 1, 0, ""),
+    ]
+    df = spark.createDataFrame([*rows, rows[0]], SCHEMA)
+    store, values = build_store(df, every=2), attribute_values(df)
+    read = {n: [(r.doc_id, r.version, r.title, r.text) for r in as_of(store, values, F.lit(T0 + n * day), every=2).orderBy("doc_id").collect()] for n in (0, 4, 6, 20)}
+    assert read[0] == [("d", 1, "T", "one, mended")]
+    assert read[4] == [("d", 1, "T", "one, mended"), ("x", 1, "", "")]
+    assert read[6] == [("d", 2, "U", "between"), ("x", 1, "", "")] and read[20][0] == ("d", 3, "T", "two")
+    # each value stands once, whoever repeats it
+    assert sorted((r.doc_id, r.attribute, r.value) for r in values.collect()) == sorted(
+        [("d", "title", "T"), ("d", "title", "U"), ("d", "text", "one  text"), ("d", "text", "two"), ("d", "text", "one, mended"), ("d", "text", "between"), ("x", "title", ""), ("x", "text", "")]
+    )
+
+
+@pytest.mark.parametrize("cut", [0, 100, 300, 600])
+def test_append_equals_building_anew(spark, cut):
+    rows = random_rows(9)
+    early, new = [r for r in rows if r[7] <= T0 + timedelta(hours=cut)], [r for r in rows if r[7] > T0 + timedelta(hours=cut)]
+    a, b = spark.createDataFrame(early, SCHEMA), spark.createDataFrame(new, SCHEMA)
+    key = lambda r: (r.tenant_id, r.doc_id, r.version)
+    got = sorted(reconstruct(append(build_store(a), a, b)).collect(), key=key)
+    assert got == sorted(reconstruct(build_store(spark.createDataFrame(rows, SCHEMA))).collect(), key=key)

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -79,9 +81,12 @@ def test_corruptions():
     assert corruption.turn_negation("The notice shall be sent", "en") == "The notice shall not be sent"
     assert corruption.turn_negation("Kayıt silinir", "tr") == "Kayıt silinmez"
     assert corruption.swap_term("the data controller decides", "en", 0) == "the data processor decides"
-    assert corruption.change_number("(2) fee is 1,280 liras", 0) == "(2) fee is 2,560 liras"
-    assert 1978 <= int(corruption.change_number("in 1977 it began", 4).split()[1]) <= 1987
-    assert corruption.change_number("no figure", 1) is None
+    assert {corruption.swap_term("Gün sayısı ay içinde", "tr", p) for p in range(9)} == {"Ay sayısı ay içinde", "Gün sayısı gün içinde", "Gün sayısı yıl içinde"}
+    fees = {corruption.change_number("(2) fee is 1,280 liras", p) for p in range(50)}
+    assert fees == {f"(2) fee is {d},280 liras" for d in range(2, 10)}
+    assert corruption.change_number("no figure", 1) is None and corruption.turn_negation("x", "de") is None
+    with pytest.raises(ValueError):
+        corruption.corrupt("The fee is 30 liras.", "de", 0)
 
 
 def test_turkish_negations():
@@ -89,7 +94,8 @@ def test_turkish_negations():
         "Veri sorumlusu yükümlüdür.": "Veri sorumlusu yükümlü değildir.", "Bu şarttır.": "Bu şart değildir.", "Bu gündür.": "Bu gün değildir.",
         "Rıza gerekmektedir.": "Rıza gerekmemektedir.", "Rıza gerekmemektedir.": "Rıza gerekmektedir.", "Taraflar isteyebilirler.": "Taraflar isteyemezler.",
         "Taraflar yapabilirler.": "Taraflar yapamazlar.", "Veriler aktarılabilir.": "Veriler aktarılamaz.", "Bu mümkün değildir.": "Bu mümkündür.",
-        "Vardır bir istisna.": "yoktur bir istisna.", "Rıza alınır.": "Rıza alınmaz.", "Kayıt silinir.": "Kayıt silinmez.",
+        "Vardır bir istisna.": "Yoktur bir istisna.", "Bildirmek zorundadır.": "Bildirmek zorunda değildir.", "Bu zorunda değildir.": "Bu zorundadır.",
+        "Veri işleyen sorumludur.": "Veri işleyen sorumlu değildir.", "Verilebilirler.": "Verilemezler.", "Rıza alınır.": "Rıza alınmaz.", "Kayıt silinir.": "Kayıt silinmez.",
     }.items():
         assert corruption.turn_negation(claim, "tr") == turned
     assert corruption.turn_negation("Hükümlerini Başkan yürütür.", "tr") is None and corruption.turn_negation("Bir kişi.", "tr") is None
@@ -99,19 +105,24 @@ def test_english_negations():
     assert corruption.turn_negation("It has been erased.", "en") == "It has not been erased."
     assert corruption.turn_negation("They had repealed it.", "en") == "They had not repealed it."
     assert corruption.turn_negation("It opened on May 27, 1937.", "en") is None
+    for claim, turned in {
+        "It cannot be used.": "It can be used.", "It can be used.": "It cannot be used.", "They were not told.": "They were told.", "It is void.": "It is not void.",
+        "It is void, but may not lapse.": "It is void, but may lapse.", "They have rights.": None, "It did not apply.": "It did apply.",
+    }.items():
+        assert corruption.turn_negation(claim, "en") == turned
 
 
 def test_numbers_in_words_and_in_dates():
     for pick in range(300):
         assert "otuz gün" not in corruption.change_number("Başvuru otuz gün içinde sonuçlanır.", pick, "tr")
-        tens = corruption.change_number("Notice of fifty (50) days is required.", pick, "en").split(" of ")[1].split(" days")[0]
-        assert tens in {"twenty-five (25)", "sixty (60)"}
+        words, figure = corruption.change_number("Notice of fifty (50) days is required.", pick, "en").split(" of ")[1].split(" days")[0].split(" (")
+        assert figure[0] != "5" and words == corruption.spelled(int(figure[:-1]), "en")
         day, year = corruption.change_number("It was signed on June 28, 2018.", pick, "en").split("June ")[1].rstrip(".").split(", ")
         assert 1 <= int(day) <= 28 and 2008 <= int(year) <= 2028
         assert corruption.change_number("(3) (Değişik:2/3/2024-7499/33 md.) Başvuru [sicil-md-07] incelenir.", pick, "tr") is None
     years = {int(corruption.change_number("in 1977 it began", p).split()[1]) for p in range(300)}
     assert years == set(range(1967, 1988)) - {1977}
-    assert corruption.change_number("İKİ AY", 0, "tr") == "Dört AY" and corruption.change_number("Dört ay", 2, "tr") == "İki ay"
+    assert corruption.change_number("İKİ AY", 0, "tr") == "Üç AY" and corruption.change_number("Dört ay", 0, "tr") == "İki ay"
     assert corruption.change_number("the three-dimensional structure", 0, "en") is None and corruption.change_number("a bir one", 0, "tr") is None
 
 

@@ -19,7 +19,8 @@ from tarnlake.session import prepare
 
 # Defaults of the chunker.
 TARGET, OVERLAP, LEAST = 1200, 150, 120
-_BREAK = re.compile(r"\n\s*\n|(?<=[.!?…])[\"')\]]*\s+")
+_PARAGRAPH_GAP = re.compile(r"\s*\n\s*\n\s*")
+_AFTER_SENTENCE = re.compile(r"[.!?…][\"')\]]*(\s+)")
 
 # Abbreviations whose full stop ends no sentence.
 ABBREVIATIONS = (
@@ -29,16 +30,22 @@ ABBREVIATIONS = (
 # Conjunctions that may join two claims after a comma.
 CONJUNCTIONS = "ve ancak fakat ayrıca and but however moreover".split()
 LEAST_CLAUSE = 25
+# Fixed value: what lies between the units of a premise.
+UNIT_GAP = r"(?u)(?<=[.!?…;:])\s+(?=[\w(\[«\"“])|\n+"
 _HIDDEN = ""
 
 
 def segments(text: str) -> list[tuple[int, int]]:
-    """Spans between paragraph and sentence boundaries that hold more than white space."""
-    edges = [0]
-    for m in _BREAK.finditer(text):
-        edges += [m.start(), m.end()]
-    edges.append(len(text))
-    return [(a, b) for a, b in zip(edges[::2], edges[1::2], strict=True) if text[a:b].strip()]
+    """Spans of the sentences of every paragraph; closing quotes and brackets stay with their sentence."""
+    out: list[tuple[int, int]] = []
+    begin = 0
+    for end, after in [*((m.start(), m.end()) for m in _PARAGRAPH_GAP.finditer(text)), (len(text), len(text))]:
+        for m in _AFTER_SENTENCE.finditer(text, begin, end):
+            out.append((begin, m.start(1)))
+            begin = m.end()
+        out.append((begin, end))
+        begin = after
+    return [(x, y) for x, y in out if text[x:y].strip()]
 
 
 def chunk_spans(text: str, target: int = TARGET, overlap: int = OVERLAP, least: int = LEAST) -> list[tuple[int, int]]:
@@ -74,46 +81,66 @@ def chunk_spans(text: str, target: int = TARGET, overlap: int = OVERLAP, least:
     return out
 
 
-def chunked(rows: DataFrame, text: str = "text", target: str | None = None, overlap: str | None = None, least: str | None = None) -> DataFrame:
-    """One row per chunk: the other columns with ordinal, chunk, span_start and span_end.
+_CHUNKS = "array<struct<chunk: string, span_start: int, span_end: int>>"
+_CHUNK_TYPE = pa.list_(pa.struct([("chunk", pa.string()), ("span_start", pa.int32()), ("span_end", pa.int32())]))
+
+
+def with_chunks(rows: DataFrame, text: str = "text", target: str | None = None, overlap: str | None = None, least: str | None = None) -> DataFrame:
+    """Every row with an array ``chunks`` (chunk, span_start, span_end) of its text.
 
     ``target``, ``overlap`` and ``least`` name integer columns with each row's own limits.
     """
     prepare(rows.sparkSession)
-    limits = [c for c in (target, overlap, least) if c]
-    kept = [c for c in rows.columns if c not in (text, *limits, "ordinal", "chunk", "span_start", "span_end")]
+    kept = [c for c in rows.columns if c != "chunks"]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n = b.num_rows
             sizes = [b.column(c).to_pylist() if c else [d] * n for c, d in ((target, TARGET), (overlap, OVERLAP), (least, LEAST))]
-            texts = b.column(text).to_pylist()
-            found = [chunk_spans(t, x or TARGET, o or 0, m or 0) if t else [] for t, x, o, m in zip(texts, *sizes, strict=True)]
-            index = pa.array([i for i, s in enumerate(found) for _ in s], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(b.column(c).take(index) for c in kept),
-                    pa.array([k for s in found for k in range(len(s))], pa.int32()),
-                    pa.array([texts[i][a:e] for i, s in enumerate(found) for a, e in s], pa.string()),
-                    pa.array([a for s in found for a, _ in s], pa.int32()),
-                    pa.array([e for s in found for _, e in s], pa.int32()),
-                ],
-                names=[*kept, "ordinal", "chunk", "span_start", "span_end"],
-            )
-
-    return rows.mapInArrow(run, f"{fields}, ordinal int, chunk string, span_start int, span_end int")
+            made = []
+            for t, x, o, m in zip(b.column(text).to_pylist(), *sizes, strict=True):
+                spans = chunk_spans(t, x or TARGET, o or 0, m or 0) if t else []
+                made.append([{"chunk": t[a:e], "span_start": a, "span_end": e} for a, e in spans])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(made, _CHUNK_TYPE)], names=[*kept, "chunks"])
+
+    return rows.mapInArrow(run, f"{fields}, chunks {_CHUNKS}")
+
+
+def chunked(rows: DataFrame, text: str = "text", target: str | None = None, overlap: str | None = None, least: str | None = None) -> DataFrame:
+    """One row per chunk: the other columns with ordinal, chunk, span_start and span_end."""
+    limits = [c for c in (target, overlap, least) if c]
+    kept = [c for c in rows.columns if c not in (text, *limits, "ordinal", "chunk", "span_start", "span_end")]
+    made = with_chunks(rows.select(*kept, text, *limits), text, target, overlap, least)
+    return made.select(*kept, F.posexplode("chunks").alias("ordinal", "_c")).select(*kept, "ordinal", "_c.chunk", "_c.span_start", "_c.span_end")
+
+
+def chunk_faults(text: Column, chunks: Column, target: Column) -> Column:
+    """Of a text's chunks: how many do not give back their span, how many pass the target (the last may), and the characters in none."""
+    given = lambda c: F.substring(text, c["span_start"] + 1, c["span_end"] - c["span_start"])
+    n = F.size(chunks)
+    starts = F.concat(F.transform(chunks, lambda c: c["span_start"]), F.array(F.char_length(text)))
+    ends = F.concat(F.array(F.lit(0)), F.transform(chunks, lambda c: c["span_end"]))
+    gaps = F.transform(F.arrays_zip(ends.alias("a"), starts.alias("b")), lambda g: F.substring(text, g["a"] + 1, F.greatest(g["b"] - g["a"], F.lit(0))))
+    return F.struct(
+        F.size(F.filter(chunks, lambda c: given(c) != c["chunk"])).alias("broken"),
+        F.size(F.filter(F.slice(chunks, F.lit(1), F.greatest(n - 1, F.lit(0))), lambda c: c["span_end"] - c["span_start"] > target)).alias("too_long"),
+        F.char_length(F.regexp_replace(F.array_join(gaps, ""), r"(?U)\s+", "")).alias("lost"),
+    )
+
+
+# A full stop that ends no sentence: of an abbreviation, within or after e.g. and i.e., between digits, or after a lone
+# digit that a small letter follows.
+_INNER_STOP = (
+    r"(?<=\b(?:" + "|".join(ABBREVIATIONS) + r"))\.|(?<=\b[ei])\.(?=[ge]\.)|(?<=\d)\.(?=\d)|(?-i:(?<=\b\d)\.(?=\s+[a-zçğıöşü]))"
+)
+_SENTENCE = rf"(?siu)(?=.)(?:[^.!?…]++|{_INNER_STOP})*+(?:[.!?…](?:\s*\[[^\[\]]+\])*|$)"
 
 
 def marked_sentences(text: Column) -> Column:
-    """Sentences with their trailing citations, abbreviations, decimals and small-letter ordinals kept whole."""
-    hidden = F.regexp_replace(text, r"(?iu)\b(" + "|".join(ABBREVIATIONS) + r")\.", "$1" + _HIDDEN)
-    hidden = F.regexp_replace(hidden, r"(?iu)\b(e|i)\.(g|e)" + _HIDDEN, "$1" + _HIDDEN + "$2" + _HIDDEN)
-    hidden = F.regexp_replace(hidden, r"(?<=\d)\.(?=\d)", _HIDDEN)
-    hidden = F.regexp_replace(hidden, r"(?<=\b\d)\.(?=\s+[a-zçğıöşü])", _HIDDEN)
-    found = F.regexp_extract_all(hidden, F.lit(r"(?s)[^.!?…]*[.!?…](?:\s*\[[^\[\]]+\])*|[^.!?…]+$"), F.lit(0))
-    shown = F.transform(found, lambda s: F.trim(F.translate(s, _HIDDEN, ".")))
-    return F.filter(shown, lambda s: F.length(s) > 0)
+    """Sentences with their trailing citations: one scan for end marks that passes over the stops that end no sentence."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(_SENTENCE), F.lit(0)), lambda s: F.trim(s))
+    return F.filter(found, lambda s: F.length(s) > 0)
 
 
 def citations_of(sentence: Column) -> Column:
@@ -145,7 +172,7 @@ def drafted_claims(answers: DataFrame, key: str = "query_id", text: str = "answe
 
 def premise_windows(premise: Column, size: int = 2) -> Column:
     """Every run of ``size`` neighbouring sentences or lines."""
-    units = F.split(premise, r"(?u)(?<=[.!?…;:])\s+(?=[\w(\[«\"“])|\n+")
+    units = F.split(premise, UNIT_GAP)
     units = F.filter(F.transform(units, lambda u: F.trim(F.regexp_replace(u, r"\s+", " "))), lambda u: F.length(u) > 0)
     n = F.size(units)
     many = F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda i: F.array_join(F.slice(units, i, size), " "))

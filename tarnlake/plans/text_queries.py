@@ -152,11 +152,11 @@ def chunk_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def chunk_invariants(spark: SparkSession, sf: str) -> DataFrame:
-    """Chunks per source, with those whose span does not give back their text."""
-    rows = textops.chunked(_stored_texts(spark, sf), target="target_chars", overlap="overlap_chars", least="min_chars")
-    texts = read(spark, sf, "documents").select("doc_id", "text")
-    given = F.substring(F.col("text"), F.col("span_start") + 1, F.col("span_end") - F.col("span_start"))
-    return rows.join(texts, "doc_id").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(given != F.col("chunk")).alias("broken"), F.count_if(F.col("ordinal") == 0).alias("texts"))
+    """Texts per source, with the faults of their chunks: spans that do not give back their text, chunks above the target, characters lost."""
+    rows = textops.with_chunks(_stored_texts(spark, sf), target="target_chars", overlap="overlap_chars", least="min_chars")
+    faults = rows.select("source", "chunks", textops.chunk_faults(F.col("text"), F.col("chunks"), F.col("target_chars")).alias("f"))
+    sums = [F.sum(f"f.{c}").alias(c) for c in ("broken", "too_long", "lost")]
+    return faults.groupBy("source").agg(F.count_if(F.size("chunks") > 0).alias("texts"), *sums)
 
 
 def answer_sentences(spark: SparkSession, sf: str) -> DataFrame:
@@ -273,6 +273,7 @@ def oracle_sql() -> dict[str, str]:
             t AS (SELECT DISTINCT tenant_id, doc_id, {_norm('text')} AS body FROM ingest_messages),
             h AS (SELECT query_id, quote, bool_or(coalesce(contains(body, quote), false)) AS held FROM a LEFT JOIN t USING (tenant_id, doc_id) GROUP BY ALL)
             SELECT query_id, count(*) AS quotes, count(*) FILTER (WHERE held) AS found FROM h GROUP BY query_id""",
+        "chunk_invariants": "SELECT source, count(*) FILTER (WHERE length(trim(text)) > 0) AS texts, 0::BIGINT AS broken, 0::BIGINT AS too_long, 0::BIGINT AS lost FROM documents JOIN (SELECT DISTINCT tenant_id FROM chunk_configs) ON source = tenant_id GROUP BY source",
         "draft_problems": f"""SELECT problem, count(*) AS n, min(query_id) AS first_query FROM (SELECT DISTINCT query_id, problem FROM (SELECT query_id, unnest([
             CASE WHEN coalesce(length(trim(text)), 0) = 0 THEN 'no text' END, CASE WHEN length(text) > 400 THEN 'text too long' END, CASE WHEN tenant_id IS NULL THEN 'no tenant' END,
             CASE WHEN NOT coalesce(status IN ('draft', 'verified', 'rejected'), false) THEN 'unknown status' END,

@@ -34,6 +34,17 @@ def test_chunk_spans_cover_and_end(text, target, overlap, least):
     assert all(b - a <= target for a, b in spans[:-1])
 
 
+def test_no_character_is_lost_between_chunks(spark):
+    assert textops.segments('He said (go.)\n\nNext "one." And') == [(0, 13), (15, 26), (27, 30)]
+    texts = ['He said (go.)\n\nNext', "a.) b.] c!\" d", " x \n \n y.  ", "q" * 50, "", None]
+    df = spark.createDataFrame([(i, t, 9, 0, 0) for i, t in enumerate(texts)], "id int, text string, t int, o int, m int")
+    rows = textops.with_chunks(df, target="t", overlap="o", least="m").select("id", "chunks", textops.chunk_faults(F.col("text"), F.col("chunks"), F.col("t")).alias("f")).collect()
+    assert all((r.f.broken, r.f.lost, r.f.too_long) == (0, 0, 0) for r in rows if r.id < 5) and all(r.chunks for r in rows if r.id < 4)
+    torn = df.filter("id = 0").select("text", F.expr("array(named_struct('chunk', 'He', 'span_start', 0, 'span_end', 3))").alias("c"))
+    f = torn.select(textops.chunk_faults(F.col("text"), F.col("c"), F.lit(2)).alias("f")).first().f
+    assert (f.broken, f.too_long, f.lost) == (1, 0, 13)  # the fault is seen: "said(go.)Next" lies in no chunk
+
+
 def test_chunk_sizes_and_overlap():
     spans = textops.chunk_spans(TEXT, 200, 60, 20)
     assert len(spans) > 3 and all(b - a <= 200 for a, b in spans)
@@ -49,10 +60,10 @@ def test_chunked_frame_keeps_columns(spark):
 
 
 def test_sentences_and_citations(spark):
-    got = column(spark, textops.marked_sentences, "Bir. İki! Üç?", "Ücret 2.500 TL olur. Oran 0.05 kalır. [a:v1][b:v2] Son", "See e.g. the annex. 5. maddede yazar.", None, "")
+    got = column(spark, textops.marked_sentences, "Bir. İki! Üç?", "Ücret 2.500 TL olur. Oran 0.05 kalır. [a:v1][b:v2] Son", "See e.g. the annex. 5. maddede yazar.", None, "", "a. drafts etc.")
     assert got[0] == ["Bir.", "İki!", "Üç?"]
     assert got[1] == ["Ücret 2.500 TL olur.", "Oran 0.05 kalır. [a:v1][b:v2]", "Son"]
-    assert got[2] == ["See e.g. the annex.", "5. maddede yazar."] and not got[3] and not got[4]
+    assert got[2] == ["See e.g. the annex.", "5. maddede yazar."] and not got[3] and not got[4] and got[5] == ["a.", "drafts etc."]
     assert column(spark, textops.citations_of, "x. [a][b]", "x [a] y.") == [["a", "b"], []]
 
 

@@ -44,10 +44,19 @@ def close_periods(versions: DataFrame, keys: Sequence[str] = ("tenant_id", "doc_
 
 
 def overlaps(versions: DataFrame, keys: Sequence[str] = ("tenant_id", "doc_id")) -> DataFrame:
-    """Versions that reach into the period of the next one."""
+    """Versions whose period shares a moment with another version's, whichever of them starts first.
+
+    A version reaches into a later one if it reaches into the next, and lies in an earlier one if the latest end
+    before it does.  Superseded rows and empty periods are passed over.
+    """
+    live = versions.filter(F.col("superseded_at").isNull()) if "superseded_at" in versions.columns else versions
+    live = live.filter(F.col("valid_from").isNotNull() & (F.col("valid_to").isNull() | (F.col("valid_to") > F.col("valid_from"))))
     w = Window.partitionBy(*keys).orderBy("valid_from", "version")
-    following = F.lead("valid_from").over(w)
-    return versions.withColumn("next_from", following).filter(F.col("next_from").isNotNull() & (F.col("valid_to").isNull() | (F.col("valid_to") > F.col("next_from"))))
+    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+    reaches = F.lead("valid_from").over(w) < F.coalesce("valid_to", F.lead("valid_from").over(w) + F.expr("INTERVAL 1 SECOND"))
+    within = F.coalesce(F.bool_or(F.col("valid_to").isNull()).over(earlier), F.lit(False)) | (F.max("valid_to").over(earlier) > F.col("valid_from"))
+    marked = live.withColumns({"_reaches": reaches, "_within": within})
+    return marked.filter(F.coalesce("_reaches", F.lit(False)) | F.coalesce("_within", F.lit(False))).drop("_reaches", "_within")
 
 
 def retire(versions: DataFrame, tenant: str, moment: Column) -> DataFrame:
@@ -56,6 +65,23 @@ def retire(versions: DataFrame, tenant: str, moment: Column) -> DataFrame:
     return versions.withColumn("valid_to", F.when(hit, moment).otherwise(F.col("valid_to")))
 
 
+def retire_documents(rows: DataFrame, documents: DataFrame, moment: Column) -> DataFrame:
+    """Close the open rows of named documents; works on a document table and on its chunks alike.
+
+    ``documents``: tenant_id, doc_id.  Rows of other documents, closed rows and rows that start later stay as they are.
+    """
+    named = documents.select("tenant_id", "doc_id", F.lit(True).alias("_named")).distinct()
+    hit = F.coalesce("_named", F.lit(False)) & F.col("valid_to").isNull() & (F.col("valid_from") < moment)
+    return rows.join(named, ["tenant_id", "doc_id"], "left").withColumn("valid_to", F.when(hit, moment).otherwise(F.col("valid_to"))).drop("_named")
+
+
+def retired(rows: DataFrame, documents: DataFrame, moment: Column) -> DataFrame:
+    """For each named document whether there is anything to retire: tenant_id, doc_id, retired."""
+    current_ = rows.filter(F.col("valid_to").isNull() & (F.col("valid_from") < moment)).select("tenant_id", "doc_id", F.lit(True).alias("retired")).distinct()
+    named = documents.select("tenant_id", "doc_id").distinct()
+    return named.join(current_, ["tenant_id", "doc_id"], "left").withColumn("retired", F.coalesce("retired", F.lit(False)))
+
+
 def as_of_join(probes: DataFrame, versions: DataFrame, moment: str, keys: Sequence[str] = ("tenant_id", "doc_id")) -> DataFrame:
     """Each probe with the version in force at its moment: an equi-join with a range as residual."""
     v = versions.select(*keys, "version", "valid_from", "valid_to")

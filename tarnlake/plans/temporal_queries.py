@@ -52,9 +52,9 @@ def version_chain(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def overlap_violations(spark: SparkSession, sf: str) -> DataFrame:
-    """Versions that overlap the next one, before and after one end is widened by a day."""
+    """Versions that overlap another one, as stored and after every period is widened by four hundred days."""
     rows = temporal.versions_of(read(spark, sf, "chunks"))
-    widened = rows.withColumn("valid_to", F.col("valid_to") + F.expr("INTERVAL 1 DAY"))
+    widened = rows.withColumn("valid_to", F.col("valid_to") + F.expr("INTERVAL 400 DAY"))
     found = temporal.overlaps(rows).select("tenant_id", "doc_id", "version", F.lit("as stored").alias("state"))
     return found.unionByName(temporal.overlaps(widened).select("tenant_id", "doc_id", "version", F.lit("widened").alias("state")))
 
@@ -79,6 +79,13 @@ def retire_close(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("tenant_id", "doc_id", "version", _shown("valid_from"), _shown("valid_to"))
 
 
+def retire_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """All chunks after the first document of every tenant was retired at a moment."""
+    chunks = read(spark, sf, "chunks").select("chunk_id", "tenant_id", "doc_id", "version", "valid_from", "valid_to").distinct()
+    first = chunks.groupBy("tenant_id").agg(F.min("doc_id").alias("doc_id"))
+    return temporal.retire_documents(chunks, first, _moment("2025-01-01 00:00:00")).select("chunk_id", "version", _shown("valid_from"), _shown("valid_to"))
+
+
 def change_detection(spark: SparkSession, sf: str) -> DataFrame:
     """Outcome of each submission in a linear history, by content hash."""
     return temporal.linear_outcomes(_submissions(spark, sf)).select("job_id", "tenant_id", "doc_id", "outcome")
@@ -133,7 +140,7 @@ def chunk_id_format(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict:
     listed = (
-        as_of_snapshot, current_chunks, documents_in_force, version_chain, overlap_violations, asof_join_versions, latest_version, retire_close,
+        as_of_snapshot, current_chunks, documents_in_force, version_chain, overlap_violations, asof_join_versions, latest_version, retire_close, retire_chunks,
         change_detection, corpus_event_log, corpus_changes_since, bitemporal_two_axis, correction_supersede, ingest_outcomes, chunk_id_format,
     )
     return {f.__name__: f for f in listed}
@@ -151,19 +158,20 @@ _T = "'%Y-%m-%d %H:%M:%S'"
 
 def oracle_sql() -> dict[str, str]:
     moment, known = f"TIMESTAMP '{MOMENT}'", f"TIMESTAMP '{KNOWN}'"
-    overlap = """SELECT tenant_id, doc_id, version, '{state}' AS state FROM (
-        SELECT *, lead(valid_from) OVER (PARTITION BY tenant_id, doc_id ORDER BY valid_from, version) AS nf FROM
-        (SELECT tenant_id, doc_id, version, valid_from, valid_to {plus} AS valid_to FROM {v}))
-        WHERE nf IS NOT NULL AND (valid_to IS NULL OR valid_to > nf)"""
+    overlap = """SELECT tenant_id, doc_id, version, '{state}' AS state FROM {v} a WHERE EXISTS (
+        SELECT 1 FROM {v} b WHERE a.tenant_id = b.tenant_id AND a.doc_id = b.doc_id AND a.version <> b.version
+        AND (a.valid_to IS NULL OR b.valid_from < a.valid_to {plus}) AND (b.valid_to IS NULL OR a.valid_from < b.valid_to {plus}))"""
     return {
         "as_of_snapshot": f"SELECT DISTINCT tenant_id, doc_id, version, chunk_id FROM chunks WHERE valid_from <= {moment} AND (valid_to IS NULL OR valid_to > {moment})",
         "current_chunks": "SELECT DISTINCT tenant_id, chunk_id FROM chunks WHERE valid_to IS NULL",
         "documents_in_force": f"SELECT tenant_id, doc_id, version, row_number() OVER (PARTITION BY tenant_id ORDER BY valid_from DESC, doc_id) AS place FROM {_VERSIONS} WHERE valid_to IS NULL",
         "version_chain": f"SELECT tenant_id, doc_id, version, strftime(valid_from, {_T}) AS valid_from, strftime(lead(valid_from) OVER (PARTITION BY tenant_id, doc_id ORDER BY version), {_T}) AS valid_to FROM (SELECT DISTINCT tenant_id, doc_id, version, valid_from FROM chunks)",
-        "overlap_violations": overlap.format(state="as stored", plus="", v=_VERSIONS) + " UNION ALL " + overlap.format(state="widened", plus="+ INTERVAL 1 DAY", v=_VERSIONS),
+        "overlap_violations": overlap.format(state="as stored", plus="", v=_VERSIONS) + " UNION ALL " + overlap.format(state="widened", plus="+ INTERVAL 400 DAY", v=_VERSIONS),
         "asof_join_versions": f"SELECT j.job_id, tenant_id, doc_id, v.version FROM {_JOBS} j JOIN {_VERSIONS} v USING (tenant_id, doc_id) WHERE v.valid_from <= j.published_at AND (v.valid_to IS NULL OR v.valid_to > j.published_at)",
         "latest_version": "SELECT tenant_id, doc_id, coalesce(max(c.version), 0)::BIGINT AS latest FROM (SELECT DISTINCT tenant_id, doc_id FROM ingest_messages) LEFT JOIN chunks c USING (tenant_id, doc_id) GROUP BY ALL",
         "retire_close": f"SELECT tenant_id, doc_id, version, strftime(valid_from, {_T}) AS valid_from, strftime(CASE WHEN tenant_id = '{TENANT}' AND valid_to IS NULL AND valid_from < TIMESTAMP '2025-01-01' THEN TIMESTAMP '2025-01-01' ELSE valid_to END, {_T}) AS valid_to FROM {_VERSIONS}",
+        "retire_chunks": f"""WITH c AS (SELECT DISTINCT chunk_id, tenant_id, doc_id, version, valid_from, valid_to FROM chunks), f AS (SELECT tenant_id, min(doc_id) AS doc_id FROM chunks GROUP BY tenant_id)
+            SELECT chunk_id, version, strftime(valid_from, {_T}) AS valid_from, strftime(CASE WHEN (tenant_id, doc_id) IN (FROM f) AND valid_to IS NULL AND valid_from < TIMESTAMP '2025-01-01' THEN TIMESTAMP '2025-01-01' ELSE valid_to END, {_T}) AS valid_to FROM c""",
         "change_detection": _LINEAR,
         "corpus_event_log": f"SELECT tenant_id, outcome, count(*) AS n_events, count(DISTINCT doc_id) AS n_docs FROM ({_LINEAR}) WHERE outcome <> 'unchanged' GROUP BY ALL",
         "corpus_changes_since": f"SELECT tenant_id, count(DISTINCT doc_id) AS changed FROM ingest_messages WHERE published_at > {moment} GROUP BY tenant_id",

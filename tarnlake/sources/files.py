@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
 from functools import reduce
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +16,11 @@ FORMAT = 1
 def corpus(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """Files below a folder: doc_id (path within it), path, content, declared (null)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(suffixes) + "}").load(folder)
-    root = str(Path(folder).resolve()).rstrip("/") + "/"
-    inside = F.regexp_replace(F.regexp_replace("path", r"^file:/*", "/"), "^" + root.replace(".", r"\."), "")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    qualified = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    root = re.sub("^file:/*", "/", qualified).rstrip("/") + "/"
+    bare = F.regexp_replace("path", "^file:/*", "/")
+    inside = F.when(F.startswith(bare, F.lit(root)), F.substring(bare, F.lit(len(root) + 1), F.char_length(bare))).otherwise(bare)
     return files.select(inside.alias("doc_id"), "path", "content", F.lit(None).cast("string").alias("declared"))
 
 

@@ -3,40 +3,56 @@
 from __future__ import annotations
 
 import json
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _pointer(spark: SparkSession, folder: str):  # noqa: ANN202
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{folder}/CURRENT")
-    return jvm, path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+_NUMBERED = re.compile(r"SNAPSHOT-(\d{12})")
+
+
+def _file_system(spark: SparkSession, folder: str):  # noqa: ANN202
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return path, path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _numbers(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the pointer files, which are written once and never changed."""
+    path, fs = _file_system(spark, folder)
+    if not fs.exists(path(folder)):
+        return []
+    names = (s.getPath().getName() for s in fs.listStatus(path(folder)))
+    return sorted(int(m[1]) for n in names if (m := _NUMBERED.fullmatch(n)))
 
 
 def swap_in(tables: dict[str, DataFrame], folder: str) -> str:
-    """Write all tables of one snapshot, then point to it in a single rename: readers see all or nothing."""
+    """Write all tables of one snapshot, then give it the next number in a single rename.
+
+    Readers take the highest number, so they see the snapshot before or this one, all of it, at every moment
+    and after every crash.  Of two writers at once the later one takes the number after.
+    """
     name = uuid.uuid4().hex
     spark = next(iter(tables.values())).sparkSession
     for table, df in tables.items():
         df.write.mode("errorifexists").parquet(f"{folder}/{name}/{table}")
-    jvm, path, fs = _pointer(spark, folder)
-    fresh = jvm.org.apache.hadoop.fs.Path(f"{folder}/NEXT-{name}")
+    path, fs = _file_system(spark, folder)
+    fresh = path(f"{folder}/NEXT-{name}")
     stream = fs.create(fresh, True)
     stream.write(bytearray(json.dumps({"snapshot": name}).encode()))
     stream.close()
-    if fs.exists(path):
-        fs.delete(path, False)
-    if not fs.rename(fresh, path):
-        raise OSError(f"cannot point {folder} to the new snapshot")
-    return name
+    for _ in range(100):
+        numbered = path(f"{folder}/SNAPSHOT-{max(_numbers(spark, folder), default=0) + 1:012d}")
+        if not fs.exists(numbered) and fs.rename(fresh, numbered):
+            return name
+    raise OSError(f"cannot point {folder} to the new snapshot")
 
 
 def snapshot(spark: SparkSession, folder: str) -> str | None:
     """Name of the snapshot in force; None before the first."""
-    _, path, fs = _pointer(spark, folder)
-    return json.loads(spark.read.text(path.toString()).first()["value"])["snapshot"] if fs.exists(path) else None
+    numbers = _numbers(spark, folder)
+    return json.loads(spark.read.text(f"{folder}/SNAPSHOT-{numbers[-1]:012d}").first()["value"])["snapshot"] if numbers else None
 
 
 def read_table(spark: SparkSession, folder: str, table: str) -> DataFrame:

@@ -58,6 +58,8 @@ def test_snapshots_and_sources(spark, tmp_path):
     store.swap_in({"a": spark.range(3), "b": spark.range(1)}, folder)
     store.swap_in({"a": spark.range(5), "b": spark.range(2)}, folder)
     assert (store.read_table(spark, folder, "a").count(), store.read_table(spark, folder, "b").count()) == (5, 2)
+    (tmp_path / "store" / "NEXT-torn").write_text("")  # a writer that died before its rename changes nothing
+    assert store.read_table(spark, folder, "a").count() == 5 and len(list((tmp_path / "store").glob("SNAPSHOT-*"))) == 2
     store.publish(spark.createDataFrame([("t", "j1"), ("u", "j2")], "tenant_id string, job_id string"), str(tmp_path / "q"))
     assert spark.read.json(str(tmp_path / "q")).count() == 2
     b64 = base64.b64encode(b"abc").decode()

@@ -22,7 +22,21 @@ def test_each_moment_has_one_version(spark):
     assert [r.version for r in M.current(rows).collect()] == [2]
     assert M.overlaps(rows).count() == 0
     wide = rows.withColumn("valid_to", F.col("valid_to") + F.expr("INTERVAL 1 DAY"))
-    assert [r.version for r in M.overlaps(wide).collect()] == [1]
+    assert sorted(r.version for r in M.overlaps(wide).collect()) == [1, 2]
+    day = timedelta(days=1)
+    long = [("t", "d", 1, J, J + 90 * day, None), ("t", "d", 2, J + 10 * day, J + 20 * day, None), ("t", "d", 3, J + 30 * day, J + 40 * day, None), ("t", "d", 4, J + 90 * day, None, None)]
+    long += [("t", "d", 5, J + 50 * day, J + 60 * day, J), ("t", "d", 6, J + 5 * day, J + 5 * day, None), ("t", "e", 1, None, None, None)]
+    rows = spark.createDataFrame(long, "tenant_id string, doc_id string, version int, valid_from timestamp_ntz, valid_to timestamp_ntz, superseded_at timestamp_ntz")
+    assert sorted(r.version for r in M.overlaps(rows).collect()) == [1, 2, 3]  # the third lies in the first, not in its neighbour
+
+
+def test_retired_documents_and_their_chunks(spark):
+    rows = spark.createDataFrame([("t", "a", "c1", J, None), ("t", "a", "c2", J, N), ("t", "b", "c3", J, None), ("u", "a", "c4", J, None), ("t", "a", "c5", N, None)], "tenant_id string, doc_id string, chunk_id string, valid_from timestamp_ntz, valid_to timestamp_ntz")
+    named = spark.createDataFrame([("t", "a"), ("t", "a"), ("t", "none")], "tenant_id string, doc_id string")
+    at = J + timedelta(days=1)
+    got = {r.chunk_id: r.valid_to for r in M.retire_documents(rows, named, stamp(at)).collect()}
+    assert got == {"c1": at, "c2": N, "c3": None, "c4": None, "c5": None}
+    assert {r.doc_id: r.retired for r in M.retired(rows, named, stamp(at)).collect()} == {"a": True, "none": False}
 
 
 def ingest(spark, rows):

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnlake.operators import decisions as decisions_of
 from tarnlake.operators import drift, monitoring, risk
 from tarnlake.session import read
 
 BOUNDS = (1.0, 5.0, 10.0, 25.0, 50.0, 100.0, 250.0, 500.0)
 LIVE_FROM = "2024-01-06 00:00:00"
-SNAPSHOT = "2023-06-01 00:00:00"
-ALPHA, DELTA, MANY_CHANGES = 0.3, 0.05, 1
+SNAPSHOT, RUN_AT, NOW = "2027-01-01 00:00:00", "2027-01-01 00:00:00", "2027-02-11 00:00:00"
+ALPHA, DELTA, MAX_AGE_HOURS, ALARM = 0.3, 0.05, 24 * 30, 1.02
 
 
 def _events(spark: SparkSession, sf: str) -> DataFrame:
@@ -67,25 +68,59 @@ def calibration_in_force(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("category", "certified", "threshold", F.round("coverage", 6).alias("coverage"), F.round("risk", 6).alias("risk"), "n")
 
 
-def decisions(spark: SparkSession, sf: str) -> DataFrame:
-    """Verdict on every response: the first gate that refuses it, else answered with or without removed claims."""
+def _gate_facts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Runs with their facts, requests, and drift alarms; a category of responses stands for a calibration's tenant.
+
+    Every category has a run of its own date; the first half of its responses by hash fills the monitor's bag, the
+    others are live.
+    """
     records = read(spark, sf, "response_records").dropDuplicates(["query_id"])
-    obs = risk.observations(records, "nli", "strict")
-    edited = risk.judged_claims(records, "nli", "strict").select("query_id", F.exists("claims", lambda c: c["action"] != "kept").alias("edited"))
-    tenants = read(spark, sf, "eval_queries").select("query_id", "tenant_id").distinct()
-    changes = read(spark, sf, "ingest_messages").filter(F.col("correction") & (F.col("published_at") > F.lit(SNAPSHOT).cast("timestamp_ntz")))
-    changed = changes.groupBy("tenant_id").agg(F.count_distinct("doc_id").alias("n_changed"))
-    rows = obs.join(edited, "query_id").join(tenants, "query_id", "left").join(changed, "tenant_id", "left")
-    rows = rows.join(_calibrations(spark, sf).select("category", "certified", "threshold"), "category", "left")
-    verdict = (
-        F.when(~F.coalesce("certified", F.lit(False)), "no calibration")
-        .when(F.coalesce("n_changed", F.lit(0)) > MANY_CHANGES * 1000, "corpus changed")
-        .when(~F.col("answered"), "no claim left")
-        .when(F.col("statistic") > F.col("threshold"), "risk too high")
-        .when(F.col("edited"), "answered with changes")
-        .otherwise("answered")
-    )
-    return rows.select("query_id", verdict.alias("verdict"))
+    day = F.make_dt_interval(F.length("category"))
+    runs = _calibrations(spark, sf).select(
+        F.col("category").alias("tenant_id"), F.lit(ALPHA).alias("alpha"), "certified", "threshold", F.col("category").alias("calibration_id"),
+        (F.lit(RUN_AT).cast("timestamp_ntz") + day).alias("created_at"), F.lit(SNAPSHOT).cast("timestamp_ntz").alias("corpus_known_at"),
+    )
+    asked = read(spark, sf, "eval_queries").select("tenant_id", F.col("category")).distinct()
+    changes = read(spark, sf, "ingest_messages").filter("correction").join(asked, "tenant_id").select(F.col("category").alias("tenant_id"), F.concat("tenant_id", F.lit("/"), "doc_id").alias("doc_id"), "published_at")
+    facts = decisions_of.with_facts(decisions_of.calibrations_in_force(runs), changes, F.lit(NOW), MAX_AGE_HOURS)
+    judged = risk.judged_claims(records, "nli", "permissive").select("query_id", F.size("claims").alias("n_claims"), F.exists("claims", lambda c: c["score"] < risk.SUPPORT).alias("unsupported"))
+    obs = risk.observations(records, "nli", "permissive")
+    requests = obs.join(judged, "query_id").select(
+        F.col("query_id").alias("request_id"), F.col("category").alias("tenant_id"), F.lit(ALPHA).alias("alpha"), "statistic", "n_claims",
+        F.when(F.col("answered"), F.col("n_claims")).otherwise(0).alias("n_kept"), F.lit(False).alias("edited"), "unsupported",
+    )
+    stream = decisions_of.numbered(requests.select(F.col("tenant_id").alias("key"), "request_id", "statistic"), "key", "request_id")
+    stream = stream.withColumn("is_calibration", F.substring(F.md5("request_id"), 1, 1) < "8")
+    alarms = decisions_of.drift_alarms(stream, drift.monitored(stream.select("key", "seq", "statistic", "is_calibration"), level=ALARM))
+    return facts, requests, alarms
+
+
+def decisions(spark: SparkSession, sf: str) -> DataFrame:
+    """Verdict on every response in permissive mode: the first gate that refuses it, or what it is served with."""
+    runs, requests, alarms = _gate_facts(spark, sf)
+    return decisions_of.decided(requests, runs, alarms).select(F.col("request_id").alias("query_id"), "gate", "decision", "reason", "degraded", "guaranteed")
+
+
+def calibration_status(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the guarantee of each run in force still holds, and the first reason why not."""
+    runs, _, alarms = _gate_facts(spark, sf)
+    return decisions_of.status(runs, alarms).select("calibration_id", "threshold", "n_changed", "stale", "in_force", "reason")
+
+
+def stage_failures(spark: SparkSession, sf: str) -> DataFrame:
+    """Outcome of requests whose stages failed, events standing for requests and the digits of their ids for the stages."""
+    digit = lambda k: F.floor(F.col("event_id") / k) % 10
+    outcome = decisions_of.stage_outcome(digit(1) > 0, digit(10), digit(100) > 1, digit(1000) > 2, F.col("event_type") != "error")
+    rows = _events(spark, sf).select(outcome.alias("o"))
+    return rows.groupBy("o.outcome", "o.reason", "o.degraded").agg(F.count(F.lit(1)).alias("n"))
+
+
+def tenants_of_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests per tenant by API key; every source has a key, and keys of other numbers are unknown."""
+    names = read(spark, sf, "chunk_configs").select("tenant_id")
+    keys = names.select(F.sha2(F.concat(F.lit("key-"), "tenant_id"), 256).alias("key_hash"), "tenant_id")
+    asked = read(spark, sf, "eval_queries").select("query_id", F.concat(F.lit("key-"), F.when(F.col("category") != "unanswerable", F.col("tenant_id")).otherwise("none")).alias("api_key")).distinct()
+    return decisions_of.tenant_of_key(asked, keys).groupBy(F.coalesce("tenant_id", F.lit("unknown")).alias("tenant_id")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def latency_quantiles(spark: SparkSession, sf: str) -> DataFrame:
@@ -126,8 +161,8 @@ def user_sessions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def refusals_by_reason(spark: SparkSession, sf: str) -> DataFrame:
-    """Verdicts on all responses by reason."""
-    return decisions(spark, sf).groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
+    """Verdicts on all responses by gate and decision."""
+    return decisions(spark, sf).groupBy("gate", "decision").agg(F.count(F.lit(1)).alias("n"))
 
 
 def load_report(spark: SparkSession, sf: str) -> DataFrame:
@@ -155,7 +190,7 @@ def token_bucket(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict:
     listed = (
-        theta_uniform, conformal_p, drift_monitor, drift_state, calibration_in_force, decisions, latency_quantiles, latency_histogram, metric_lines,
+        theta_uniform, conformal_p, drift_monitor, drift_state, calibration_in_force, calibration_status, decisions, stage_failures, tenants_of_keys, latency_quantiles, latency_histogram, metric_lines,
         answer_rate_window, sliding_rate, user_sessions, refusals_by_reason, load_report, token_bucket,
     )
     return {f.__name__: f for f in listed}
@@ -165,32 +200,55 @@ _HIST = "SELECT event_type, le, count(*) FILTER (WHERE value <= le) AS upto, cou
 _THETA = "('0x' || substr(sha256({k} || ':' || {n}), 1, 16))::UBIGINT::DOUBLE / pow(2, 64)"
 
 
-_P_VALUES = f"""s AS (SELECT event_type AS key, event_id AS seq, least(value / 500, 1.0)::DOUBLE AS x, ts < TIMESTAMP '{LIVE_FROM}' AS cal FROM events),
+def _p_values(source: str) -> str:
+    return f"""s AS ({source}),
     l AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq) - 1 AS n FROM s WHERE NOT cal),
     b AS (SELECT l.key, l.seq, l.n, count(*) FILTER (WHERE o.x > l.x) AS above, count(*) FILTER (WHERE o.x = l.x) AS equal_, count(o.x) AS size
           FROM l LEFT JOIN s o ON o.key = l.key AND (o.cal OR o.seq < l.seq) GROUP BY ALL),
     p AS (SELECT key, seq, n, (above + {_THETA.format(k='key', n='n')} * (equal_ + 1)) / (size + 1) AS pv FROM b)"""
+
+
+_P_VALUES = _p_values(f"SELECT event_type AS key, event_id AS seq, least(value / 500, 1.0)::DOUBLE AS x, ts < TIMESTAMP '{LIVE_FROM}' AS cal FROM events")
 # the martingale as a recursion: weights mix, each strategy bets, the total is the gain
 _MIX = "((1 - {j}::DOUBLE) * {w} + {j}::DOUBLE / 3)"
 _A, _B, _C = (_MIX.format(j=drift.JUMP, w=w) + f" * (1 + ({e}) * (pv - 0.5::DOUBLE))" for w, e in zip("abc", drift.BETS, strict=True))
-_WEALTH = f"""{_P_VALUES},
+
+
+def _wealth(p_values: str, level: float) -> str:
+    return f"""{p_values},
     j AS (SELECT DISTINCT key, -1::BIGINT AS n, NULL::BIGINT AS seq, NULL::DOUBLE AS pv, 1 / 3::DOUBLE AS a, 1 / 3::DOUBLE AS b, 1 / 3::DOUBLE AS c, 0::DOUBLE AS lw FROM p
           UNION ALL
           SELECT key, n, seq, pv, x / (x + y + z), y / (x + y + z), z / (x + y + z), lw + ln(x + y + z) FROM (
               SELECT p.key, p.n, p.seq, p.pv, lw, {_A.replace("pv", "p.pv")} AS x, {_B.replace("pv", "p.pv")} AS y, {_C.replace("pv", "p.pv")} AS z FROM j JOIN p ON p.key = j.key AND p.n = j.n + 1)),
-    m AS (SELECT *, max(lw) OVER (PARTITION BY key ORDER BY n) >= ln({drift.LEVEL}::DOUBLE) AS alarmed FROM j WHERE n >= 0)"""
+    m AS (SELECT *, max(lw) OVER (PARTITION BY key ORDER BY n) >= ln({level}::DOUBLE) AS alarmed FROM j WHERE n >= 0)"""
 
 
-def _decision_sql() -> str:
+_WEALTH = _wealth(_P_VALUES, drift.LEVEL)
+
+
+def _gates_sql() -> str:
     from tarnlake.plans import risk_queries as Q
 
-    return f"""WITH {Q._OBS}, {Q._GRID}, s AS (SELECT * FROM o WHERE variant = 'nli' AND mode = 'strict'), cd AS ({Q._cand('s', 'category')}), ch AS ({Q._select('category', 'cd', False).replace(Q._A, f'{ALPHA}::DOUBLE')}),
-        ed AS (SELECT query_id, coalesce(bool_or(coalesce(c.scores['nli'], 0) < 0.5::DOUBLE), false) AS edited FROM c0 GROUP BY query_id),
-        tn AS (SELECT DISTINCT query_id, tenant_id FROM eval_queries),
-        cg AS (SELECT tenant_id, count(DISTINCT doc_id) AS n_changed FROM ingest_messages WHERE correction AND published_at > TIMESTAMP '{SNAPSHOT}' GROUP BY tenant_id)
-        SELECT s.query_id, CASE WHEN NOT coalesce(certified, false) THEN 'no calibration' WHEN coalesce(n_changed, 0) > {MANY_CHANGES * 1000} THEN 'corpus changed' WHEN NOT answered THEN 'no claim left'
-            WHEN statistic > threshold THEN 'risk too high' WHEN coalesce(edited, false) THEN 'answered with changes' ELSE 'answered' END AS verdict
-        FROM s LEFT JOIN ed ON ed.query_id = s.query_id LEFT JOIN tn ON tn.query_id = s.query_id LEFT JOIN cg USING (tenant_id) LEFT JOIN ch ON ch.category = s.category"""
+    chosen = Q._select("category", "cd", False).replace(Q._A, f"{ALPHA}::DOUBLE")
+    live = _p_values("SELECT category AS key, row_number() OVER (PARTITION BY category ORDER BY query_id) AS seq, statistic AS x, substr(md5(query_id), 1, 1) < '8' AS cal, query_id FROM rq")
+    return f"""WITH RECURSIVE {Q._OBS}, {Q._GRID}, st AS (SELECT * FROM o WHERE variant = 'nli' AND mode = 'strict'), cd AS ({Q._cand('st', 'category')}),
+        ch AS (SELECT *, TIMESTAMP '{NOW}' - (TIMESTAMP '{RUN_AT}' + to_days(length(category)::INTEGER)) > INTERVAL {MAX_AGE_HOURS} HOURS AS stale FROM ({chosen}) WHERE certified),
+        nc AS (SELECT category, count(DISTINCT tenant_id || '/' || doc_id) AS n_changed FROM (SELECT DISTINCT tenant_id, category FROM eval_queries) JOIN ingest_messages USING (tenant_id)
+               WHERE correction AND published_at > TIMESTAMP '{SNAPSHOT}' GROUP BY category),
+        rq AS (SELECT * FROM o WHERE variant = 'nli' AND mode = 'permissive'),
+        un AS (SELECT query_id, coalesce(bool_or(coalesce(c.scores['nli'], 0) < 0.5::DOUBLE), false) AS unsupported FROM c0 GROUP BY query_id),
+        {_wealth(live, ALARM)},
+        al AS (SELECT s.query_id, m.alarmed FROM m JOIN s USING (key, seq)),
+        g AS (SELECT rq.query_id, CASE WHEN ch.category IS NULL THEN 'no calibration' WHEN stale THEN 'stale calibration' WHEN coalesce(n_changed, 0) > 0 THEN 'corpus changed'
+                WHEN un.query_id IS NOT NULL AND coalesce(alarmed, false) THEN 'drift alarm' WHEN NOT answered THEN 'no claim left' WHEN statistic > threshold THEN 'risk too high' ELSE 'served' END AS gate,
+              coalesce(unsupported, false) AS unsupported FROM rq LEFT JOIN ch USING (category) LEFT JOIN nc USING (category) LEFT JOIN un ON un.query_id = rq.query_id LEFT JOIN al ON al.query_id = rq.query_id)"""
+
+
+def _decision_sql() -> str:
+    return f"""{_gates_sql()} SELECT query_id, gate, CASE WHEN gate = 'served' THEN 'answer' ELSE 'abstain' END AS decision,
+        CASE WHEN gate IN ('no calibration', 'stale calibration') THEN 'stale_calibration' WHEN gate IN ('corpus changed', 'drift alarm') THEN 'drift_detected' WHEN gate = 'served' THEN '' ELSE 'insufficient_evidence' END AS reason,
+        gate IN ('no calibration', 'stale calibration', 'corpus changed', 'drift alarm') AS degraded,
+        gate NOT IN ('no calibration', 'stale calibration', 'corpus changed', 'drift alarm') AND NOT (gate = 'served' AND unsupported) AS guaranteed FROM g"""
 
 
 def _calibration_sql() -> str:
@@ -208,7 +266,15 @@ def oracle_sql() -> dict[str, str]:
         "drift_state": f"""WITH RECURSIVE {_WEALTH} SELECT key, count(*) AS n, round(arg_max(lw, seq), 6) AS log_wealth, round(max(lw), 6) AS highest, coalesce(min(seq) FILTER (WHERE alarmed), -1) AS alarmed_at FROM m GROUP BY key""",
         "calibration_in_force": _calibration_sql(),
         "decisions": _decision_sql(),
-        "refusals_by_reason": f"SELECT verdict, count(*) AS n FROM ({_decision_sql()}) GROUP BY verdict",
+        "refusals_by_reason": f"SELECT gate, decision, count(*) AS n FROM ({_decision_sql()}) GROUP BY ALL",
+        "calibration_status": f"""{_gates_sql()} SELECT category AS calibration_id, threshold, coalesce(n_changed, 0) AS n_changed, stale, reason = '' AS in_force, reason FROM (
+            SELECT *, CASE WHEN stale THEN 'stale' WHEN coalesce(n_changed, 0) > 0 THEN 'corpus_changed' WHEN coalesce(fired, false) THEN 'drift_detected' ELSE '' END AS reason
+            FROM ch LEFT JOIN nc USING (category) LEFT JOIN (SELECT key AS category, bool_or(alarmed) AS fired FROM m GROUP BY key) USING (category))""",
+        "stage_failures": """SELECT outcome, reason, degraded, count(*) AS n FROM (SELECT unnest(CASE WHEN event_id % 10 = 0 THEN {'outcome': 'abstain', 'reason': 'out_of_corpus', 'degraded': true}
+            WHEN event_id // 10 % 10 = 0 THEN {'outcome': 'abstain', 'reason': 'out_of_corpus', 'degraded': false} WHEN event_id // 100 % 10 <= 1 THEN {'outcome': 'error', 'reason': 'generation_failed', 'degraded': true}
+            WHEN event_id // 1000 % 10 <= 2 THEN {'outcome': 'abstain', 'reason': 'insufficient_evidence', 'degraded': true} WHEN event_type = 'error' THEN {'outcome': 'abstain', 'reason': 'stale_calibration', 'degraded': true}
+            ELSE {'outcome': 'decided', 'reason': '', 'degraded': false} END) FROM events) GROUP BY ALL""",
+        "tenants_of_keys": "SELECT CASE WHEN category <> 'unanswerable' AND t.tenant_id IS NOT NULL THEN t.tenant_id ELSE 'unknown' END AS tenant_id, count(*) AS n FROM (SELECT DISTINCT query_id, tenant_id, category FROM eval_queries) q LEFT JOIN (SELECT DISTINCT tenant_id FROM chunk_configs) t USING (tenant_id) GROUP BY 1",
         "latency_quantiles": """SELECT event_type, q, value AS at, n FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events),
             (SELECT unnest([0.5, 0.9, 0.95, 0.99]::DOUBLE[]) AS q) WHERE k = least(floor(q * n) + 1, n)""",
         "latency_histogram": f"SELECT event_type, le, upto, n, round(total, 2) AS total FROM ({_HIST})",

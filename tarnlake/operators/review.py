@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 STATUSES = ("draft", "verified", "rejected")
+# Categories of queries, and characters of the shortest quote.
+CATEGORIES = ("answerable", "multi-doc", "unanswerable", "paraphrase", "temporal", "trap")
+LEAST_QUOTE = 15
 
 
 def decided(queries: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -25,21 +26,36 @@ def merged(fresh: DataFrame, prior: DataFrame) -> DataFrame:
     return rows.withColumns({"status": F.coalesce("_status", "status"), "note": F.coalesce("_note", "note")}).drop("_status", "_note")
 
 
-def draft_problems(queries: DataFrame) -> DataFrame:
-    """Every rule a draft breaks: query_id, problem."""
+def draft_problems(queries: DataFrame, held: DataFrame | None = None) -> DataFrame:
+    """Every rule a draft breaks, in one pass: query_id, problem.
+
+    ``held`` says of quotes whether a relevant document holds them (query_id, quote, held); quotes that none holds
+    and ids that stand on several rows are reported too.
+    """
+    docs, quotes = F.coalesce(F.size("relevant_docs"), F.lit(0)), F.coalesce(F.size("evidence"), F.lit(0))
+    blank = lambda c: F.coalesce(F.length(F.trim(c)), F.lit(0)) == 0
+    unanswerable = F.coalesce(F.col("category"), F.lit("")) == "unanswerable"
     rules: dict[str, Column] = {
-        "no text": F.coalesce(F.length(F.trim("text")), F.lit(0)) == 0,
-        "text too long": F.char_length("text") > 400,
+        "no text": blank("text"),
         "no tenant": F.col("tenant_id").isNull(),
         "unknown status": ~F.coalesce(F.col("status").isin(*STATUSES), F.lit(False)),
-        "answerable without documents": (F.col("category") != "unanswerable") & (F.coalesce(F.size("relevant_docs"), F.lit(0)) < 1),
-        "unanswerable with documents": (F.col("category") == "unanswerable") & (F.coalesce(F.size("relevant_docs"), F.lit(0)) > 0),
-        "answer without evidence": (F.length("answer") > 0) & (F.coalesce(F.size("evidence"), F.lit(0)) < 1),
+        "unknown category": ~F.coalesce(F.col("category").isin(*CATEGORIES), F.lit(False)),
+        "answerable without documents": ~unanswerable & (docs < 1),
+        "unanswerable with documents": unanswerable & (docs > 0),
+        "one document for several": (F.col("category") == "multi-doc") & (docs < 2),
+        "unanswerable with evidence": unanswerable & (quotes > 0),
+        "no evidence": ~unanswerable & (quotes < 1),
+        "no answer": ~unanswerable & blank("answer"),
         "repeated document": F.size(F.array_distinct("relevant_docs")) < F.size("relevant_docs"),
-        "short quote": F.exists("evidence", lambda e: F.char_length(F.trim(e)) < 10),
+        "short quote": ~unanswerable & F.exists("evidence", lambda e: F.char_length(F.trim(e)) < LEAST_QUOTE),
     }
-    parts = [queries.filter(rule).select("query_id", F.lit(name).alias("problem")) for name, rule in rules.items()]
-    return reduce(DataFrame.unionByName, parts).distinct()
+    broken = F.array_compact(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules.items()]))
+    found = queries.select("query_id", F.explode(broken).alias("problem"))
+    repeated = queries.groupBy("query_id").count().filter("count > 1").select("query_id", F.lit("repeated id").alias("problem"))
+    found = found.unionByName(repeated)
+    if held is not None:
+        found = found.unionByName(held.filter(~F.col("held")).select("query_id", F.lit("quote in no document").alias("problem")))
+    return found.distinct()
 
 
 def strided_split(rows: DataFrame, fraction: float, group: list[str], order: list[str]) -> DataFrame:

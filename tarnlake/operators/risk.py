@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnlake.functions import text as T
 from tarnlake.functions.binomial import lower_tail
 from tarnlake.functions.running import running
 from tarnlake.session import checkpointed
@@ -138,12 +139,56 @@ def threshold_candidates(obs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return _cumulated(per_place, keys)
 
 
-def with_p_values(candidates: DataFrame, alpha: float) -> DataFrame:
+def with_p_values(candidates: DataFrame, alpha: float | Column) -> DataFrame:
     """Adds the binomial p-value of the hypothesis that the risk exceeds alpha."""
     return candidates.withColumn("p_value", lower_tail(F.col("failures"), F.col("answered"), F.lit(alpha)))
 
 
-def select_threshold(candidates: DataFrame, alpha: float, delta: float, keys: Sequence[str] = (), sequential: bool = False) -> DataFrame:
+def guarantees(candidates: DataFrame, alphas: Sequence[float], delta: float, keys: Sequence[str] = ()) -> DataFrame:
+    """What can be certified at each of several alphas, from one pass over the responses: keys, alpha and the columns of select_threshold."""
+    each = candidates.withColumn("alpha", F.explode(F.array(*[F.lit(float(a)) for a in alphas])))
+    return select_threshold(each, F.col("alpha"), delta, [*keys, "alpha"])
+
+
+def transfer(obs: DataFrame, group: str, alpha: float, delta: float, keys: Sequence[str] = ()) -> DataFrame:
+    """Thresholds certified on each group of responses, tested as a single hypothesis on every other group.
+
+    Result: keys, learned_on, tested_on, threshold, answered, failures, p_value, holds; an uncertified group has threshold 0.
+    """
+    keys = list(keys)
+    candidates = threshold_candidates(obs.filter(F.col(group).isNotNull()), [*keys, group])
+    learned = select_threshold(candidates, alpha, delta, [*keys, group]).select(*keys, F.col(group).alias("learned_on"), F.round("threshold", 2).alias("threshold"))
+    tested = candidates.select(*keys, F.col(group).alias("tested_on"), F.round("lambda", 2).alias("threshold"), "answered", "failures")
+    groups = candidates.select(*keys, F.col(group).alias("tested_on")).distinct()
+    # one row per pair of groups, of which there are as few as labels
+    pairs = learned.withColumn("_one", F.lit(1)).join(groups.withColumn("_one", F.lit(1)), [*keys, "_one"]).drop("_one").filter(F.col("learned_on") != F.col("tested_on"))
+    rows = pairs.join(tested, [*keys, "tested_on", "threshold"], "left").na.fill(0, ["answered", "failures"])
+    p = lower_tail(F.col("failures"), F.col("answered"), F.lit(alpha))
+    return rows.withColumn("p_value", p).withColumn("holds", (F.col("answered") > 0) & (F.col("p_value") <= delta))
+
+
+def missing_scores(records: DataFrame, variants: Sequence[str]) -> DataFrame:
+    """How many claims lack a score of each variant, which observations count as 0: variant, n_claims, n_missing."""
+    claims = records.select(F.explode(_claims_of(records)).alias("c")).withColumn("variant", F.explode(F.array(*[F.lit(v) for v in variants])))
+    lacks = F.try_element_at("c.scores", F.col("variant")).isNull()
+    return claims.groupBy("variant").agg(F.count(F.lit(1)).alias("n_claims"), F.count_if(lacks).alias("n_missing"))
+
+
+def evidence_retrieved(retrieved: DataFrame, evidence: DataFrame, chunks: DataFrame, head: int = 80) -> DataFrame:
+    """Whether the chunks a query retrieved hold the start of any of its quotes: query_id, found (null without evidence).
+
+    ``retrieved``: query_id, chunk_id.  ``evidence``: query_id, evidence (quotes).  ``chunks``: chunk_id, text.  Texts are
+    compared in their normal form, quotes by their first ``head`` characters; each chunk is normalised once.
+    """
+    heads = F.filter(F.array_distinct(F.transform(F.coalesce("evidence", F.array().cast("array<string>")), lambda q: F.substring(T.normalised(q), 1, head))), lambda h: F.length(h) > 0)
+    asked = evidence.select("query_id", heads.alias("heads"))
+    wanted = retrieved.join(asked.filter(F.size("heads") > 0), "query_id").select("query_id", "chunk_id", "heads").distinct()
+    bodies = chunks.join(wanted.select("chunk_id").distinct(), "chunk_id", "left_semi").groupBy("chunk_id").agg(F.min("text").alias("text")).select("chunk_id", T.normalised(F.col("text")).alias("body"))
+    held = wanted.join(bodies, "chunk_id").groupBy("query_id").agg(F.bool_or(F.exists("heads", lambda h: F.contains(F.col("body"), h))).alias("held"))
+    return asked.join(held, "query_id", "left").select("query_id", F.when(F.size("heads") > 0, F.coalesce("held", F.lit(False))).alias("found"))
+
+
+def select_threshold(candidates: DataFrame, alpha: float | Column, delta: float, keys: Sequence[str] = (), sequential: bool = False) -> DataFrame:
     """The certified threshold that answers most (then the highest), per key.
 
     Bonferroni tests every threshold at delta over their number; the fixed sequence tests them in order

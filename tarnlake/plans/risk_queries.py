@@ -13,6 +13,7 @@ from tarnlake.session import read
 
 VARIANTS = ("nli", "overlap")
 ALPHA, DELTA, TRIALS = 0.3, 0.05, 200
+ALPHAS = (0.02, 0.05, 0.08, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4)
 KINDS = ("number", "negation", "term", "date")  # kinds of planted errors in the records
 
 
@@ -242,12 +243,38 @@ def split_sides(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("query_id", "category", "is_test")
 
 
+def evidence_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the chunks of each response hold the start of any quote of its query; null where it names none."""
+    retrieved = _records(spark, sf).select("query_id", F.explode("retrieved").alias("chunk_id"))
+    asked = read(spark, sf, "eval_queries").select("query_id", "evidence").dropDuplicates(["query_id"])
+    asked = asked.join(_records(spark, sf).select("query_id"), "query_id", "left_semi")
+    return R.evidence_retrieved(retrieved, asked, read(spark, sf, "chunks").select("chunk_id", "text"))
+
+
+def guarantee_table(spark: SparkSession, sf: str) -> DataFrame:
+    """What every configuration can guarantee at ten levels of risk."""
+    rows = R.guarantees(R.threshold_candidates(_observed(spark, sf), KEYS), ALPHAS, DELTA, KEYS)
+    return rows.select(*KEYS, "alpha", "certified", "threshold", F.round("coverage", 6).alias("coverage"), F.round("risk", 6).alias("risk"))
+
+
+def transfer_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Thresholds of each language of answers tested on every other language."""
+    obs = R.observations(_records(spark, sf), "nli", "strict").join(_records(spark, sf).select("query_id", "lang"), "query_id")
+    rows = R.transfer(obs, "lang", ALPHA, DELTA)
+    return rows.select("learned_on", "tested_on", "threshold", "answered", "failures", F.round("p_value", 6).alias("p_value"), "holds")
+
+
+def missing_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Claims without a score of each variant."""
+    return R.missing_scores(_records(spark, sf), ("nli", "overlap", "logit", "hits"))
+
+
 def queries() -> dict:
     listed = (
         *(_policy(m) for m in R.MODES), observations_gold, observations_verifier, assemble_answer, lambda_grid, ltt_bonferroni, ltt_fixed_sequence,
         binomial_tail_table, min_certifiable_n, transfer_test, operating_point, risk_coverage, aurc, risk_at_coverage, auroc_by_kind,
         verifier_confusion, repeated_splits, exceedance, trial_figures, ablation_table, recall_of_records, citation_check, overlap_of_claims,
-        any_evidence_overlap, latest_certified, paired_observations, split_sides,
+        any_evidence_overlap, latest_certified, paired_observations, split_sides, evidence_found, guarantee_table, transfer_table, missing_scores,
     )
     return {f.__name__: f for f in listed}
 
@@ -264,6 +291,12 @@ _OBS = f"""{_R},
           CASE WHEN count(*) FILTER (WHERE l) > 0 THEN 1.0::DOUBLE - min(score) FILTER (WHERE l) ELSE 1.0::DOUBLE END AS statistic,
           coalesce(bool_or(l AND corrupted), false) AS loss, coalesce(bool_or(l), false) AS answered, coalesce(bool_or(l AND on_evidence AND NOT corrupted), false) AS useful
           FROM r CROSS JOIN {_CONFIG} LEFT JOIN c ON c.query_id = r.query_id AND c.variant = v.variant AND c.mode = m.mode GROUP BY ALL)"""
+
+
+def _plain(x: str) -> str:
+    return f"trim(regexp_replace(lower({x}), '[ \\t\\n\\r\\f]+', ' ', 'g'))"
+
+
 _GRID = "gr AS (SELECT i AS place, round(i * 0.02::DOUBLE, 2) AS lam FROM range(1, 51) t(i))"
 
 
@@ -361,6 +394,17 @@ def oracle_sql() -> dict[str, str]:
             round(avg(useful), 6) AS useful_rate, round(avg(hopeless), 6) AS unanswerable_answered FROM f GROUP BY ALL""",
         "ablation_table": f"""WITH {_OBS}, p AS ({_POINT}), e AS (SELECT * FROM (SELECT unnest(['nli', 'overlap', 'logit', 'nli-window']) AS variant), (SELECT unnest(['strict', 'flagged', 'permissive']) AS mode))
             SELECT e.variant, e.mode, CASE WHEN n IS NULL THEN 'not run' ELSE 'run' END AS state, coalesce(n, 0) AS n, round(answer_rate, 6) AS answer_rate, round(risk, 6) AS risk FROM e LEFT JOIN p ON p.variant = e.variant AND p.mode = e.mode""",
+        "guarantee_table": f"WITH {_OBS}, {_GRID}, cd AS ({_cand('o', _KEYS)}) " + " UNION ALL ".join(
+            f"SELECT {_KEYS}, {a}::DOUBLE AS alpha, certified, threshold, round(coverage, 6) AS coverage, round(risk, 6) AS risk FROM ({_select(_KEYS, 'cd', False).replace(_A, f'{a}::DOUBLE')})" for a in ALPHAS),
+        "transfer_table": f"""WITH {_OBS}, {_GRID}, s AS (SELECT * FROM o WHERE variant = 'nli' AND mode = 'strict' AND lang IS NOT NULL), cd AS ({_cand('s', 'lang')}), ch AS ({_select('lang', 'cd', False)}),
+            t AS (SELECT learned_on, tested_on, threshold, coalesce(k, 0) AS k, coalesce(b, 0) AS b FROM (SELECT ch.lang AS learned_on, g.lang AS tested_on, threshold FROM ch, (SELECT DISTINCT lang FROM cd) g WHERE g.lang <> ch.lang)
+                  LEFT JOIN cd ON cd.lang = tested_on AND lam = threshold)
+            SELECT learned_on, tested_on, threshold, k AS answered, b AS failures, round({_PVAL}, 6) AS p_value, k > 0 AND {_PVAL} <= {_D} AS holds FROM t""",
+        "missing_scores": f"WITH {_R} SELECT variant, count(*) AS n_claims, count(*) FILTER (WHERE c.scores[variant] IS NULL) AS n_missing FROM c0, (SELECT unnest(['nli', 'overlap', 'logit', 'hits']) AS variant) GROUP BY variant",
+        "evidence_found": f"""WITH {_R}, q AS (SELECT query_id, list_filter(list_transform(coalesce(any_value(evidence), []), lambda e: substring({_plain('e')}, 1, 80)), lambda h: length(h) > 0) AS hs FROM eval_queries GROUP BY query_id),
+            b AS (SELECT chunk_id, {_plain('min(text)')} AS body FROM chunks GROUP BY chunk_id), f AS (SELECT query_id, bool_or(contains(body, h)) AS held
+                FROM (SELECT query_id, unnest(retrieved) AS chunk_id FROM r) JOIN b USING (chunk_id) JOIN (SELECT query_id, unnest(hs) AS h FROM q) USING (query_id) GROUP BY query_id)
+            SELECT query_id, CASE WHEN len(hs) > 0 THEN coalesce(held, false) END AS found FROM q LEFT JOIN f USING (query_id) WHERE query_id IN (SELECT query_id FROM r)""",
         "recall_of_records": f"WITH {_R} SELECT category, count(*) AS n, round(avg(coalesce(list_has_any(retrieved_docs, relevant_docs), false)::INT), 6) AS doc_recall, count(evidence_retrieved) AS n_labelled, round(avg(evidence_retrieved::INT), 6) AS evidence_recall FROM r WHERE answerable GROUP BY category",
         "citation_check": f"""WITH {_R} SELECT query_id, claim_no, len(list_distinct(coalesce(cs, []))) AS cited, len(kn) AS known, array_to_string(list_sort(kn), ',') AS kept FROM (
             SELECT c0.query_id, claim_no, c.citations AS cs, list_distinct(list_intersect(coalesce(c.citations, []), coalesce(retrieved, []))) AS kn FROM c0 JOIN r ON r.query_id = c0.query_id)""",

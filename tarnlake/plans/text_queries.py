@@ -100,9 +100,23 @@ def unknown_fields(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "events").select(F.array_join(F.array_sort(extra), ",").alias("unknown")).groupBy("unknown").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _spoilt(queries: DataFrame) -> DataFrame:
+    """Queries with a fault planted by the last digit of the id, so that the checks have something to find."""
+    digit = F.substring("query_id", -1, 1)
+    none, texts = F.lit(None), "array<string>"
+    return queries.withColumns({
+        "text": F.when(digit == "0", none).otherwise(F.col("text")),
+        "category": F.when(digit == "1", "odd").when(digit == "2", "multi-doc").when(digit == "3", "unanswerable").otherwise(F.col("category")),
+        "relevant_docs": F.when(digit == "4", none.cast(texts)).when(digit == "5", F.concat("relevant_docs", "relevant_docs")).when(digit == "6", F.transform("relevant_docs", lambda d: F.concat(d, F.lit("-lost")))).otherwise(F.col("relevant_docs")),
+        "evidence": F.when(digit == "7", none.cast(texts)).when(digit == "8", F.array(F.lit("short"))).otherwise(F.col("evidence")),
+        "answer": F.when(digit == "9", "").otherwise(F.col("answer")),
+        "tenant_id": F.when(digit == "9", "nobody").when(digit == "8", none).otherwise(F.col("tenant_id")),
+    })
+
+
 def label_integrity(spark: SparkSession, sf: str) -> DataFrame:
-    """Relevant documents of queries that were never submitted to their tenant or anywhere."""
-    labels = _queries(spark, sf).select("query_id", "tenant_id", F.explode("relevant_docs").alias("doc_id")).distinct()
+    """Relevant documents of queries, some spoilt, that were never submitted to their tenant or anywhere."""
+    labels = _spoilt(_queries(spark, sf)).select("query_id", "tenant_id", F.explode("relevant_docs").alias("doc_id")).distinct()
     here = _messages(spark, sf).select("tenant_id", "doc_id").distinct()
     anywhere = here.select("doc_id").distinct()
     astray = labels.join(here, ["tenant_id", "doc_id"], "left_anti").withColumn("problem", F.lit("not in tenant"))
@@ -206,8 +220,8 @@ def quotes_in_context(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def draft_problems(spark: SparkSession, sf: str) -> DataFrame:
-    """Rules that queries break, by rule."""
-    return review.draft_problems(_queries(spark, sf)).groupBy("problem").agg(F.count(F.lit(1)).alias("n"), F.min("query_id").alias("first_query"))
+    """Rules that queries, some of them spoilt, break, by rule."""
+    return review.draft_problems(_spoilt(_queries(spark, sf))).groupBy("problem").agg(F.count(F.lit(1)).alias("n"), F.min("query_id").alias("first_query"))
 
 
 def stale_documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -241,6 +255,13 @@ _NORM = "trim(regexp_replace(lower({x}), '[ \\t\\n\\r\\f]+', ' ', 'g'))"
 _TOK = "list_distinct(regexp_extract_all(lower(replace({x}, 'İ', 'i')), '[\\p{{L}}\\p{{N}}_]+'))"
 
 
+_DIGIT = "right(query_id, 1)"
+_SPOILT = f"""(SELECT query_id, CASE WHEN {_DIGIT} = '0' THEN NULL ELSE text END AS text, status, CASE {_DIGIT} WHEN '1' THEN 'odd' WHEN '2' THEN 'multi-doc' WHEN '3' THEN 'unanswerable' ELSE category END AS category,
+    CASE {_DIGIT} WHEN '4' THEN NULL WHEN '5' THEN list_concat(relevant_docs, relevant_docs) WHEN '6' THEN list_transform(relevant_docs, lambda d: d || '-lost') ELSE relevant_docs END AS relevant_docs,
+    CASE {_DIGIT} WHEN '7' THEN NULL WHEN '8' THEN ['short'] ELSE evidence END AS evidence, CASE WHEN {_DIGIT} = '9' THEN '' ELSE answer END AS answer,
+    CASE {_DIGIT} WHEN '9' THEN 'nobody' WHEN '8' THEN NULL ELSE tenant_id END AS tenant_id FROM {_Q})"""
+
+
 def _norm(x: str) -> str:
     return _NORM.format(x=x)
 
@@ -266,7 +287,7 @@ def oracle_sql() -> dict[str, str]:
         "message_validation": """SELECT tenant_id, count(*) AS n, count(*) FILTER (WHERE coalesce(length(trim(text)), 0) = 0) AS no_text, count(*) FILTER (WHERE source_uri IS NULL) AS no_source,
             count(*) FILTER (WHERE valid_from IS NULL) AS no_validity, count(*) FILTER (WHERE media_type IS NULL) AS no_type, count(*) FILTER (WHERE attempts > 1) AS redelivered FROM ingest_messages GROUP BY tenant_id""",
         "unknown_fields": "SELECT array_to_string(list_sort(list_filter(json_keys(props), lambda k: k <> 'page')), ',') AS unknown, count(*) AS n FROM events GROUP BY unknown",
-        "label_integrity": f"""WITH l AS (SELECT DISTINCT query_id, tenant_id, unnest(relevant_docs) AS doc_id FROM {_Q}), h AS (SELECT DISTINCT tenant_id, doc_id FROM ingest_messages)
+        "label_integrity": f"""WITH l AS (SELECT DISTINCT query_id, tenant_id, unnest(relevant_docs) AS doc_id FROM {_SPOILT}), h AS (SELECT DISTINCT tenant_id, doc_id FROM ingest_messages)
             SELECT query_id, doc_id, 'not in tenant' AS problem FROM l WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.tenant_id = l.tenant_id AND h.doc_id = l.doc_id)
             UNION ALL SELECT query_id, doc_id, 'nowhere' FROM l WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.doc_id = l.doc_id)""",
         "evidence_check": f"""WITH q AS (SELECT query_id, tenant_id, relevant_docs, unnest(evidence) AS quote FROM {_Q}), a AS (SELECT DISTINCT query_id, tenant_id, {_norm('quote')} AS quote, unnest(relevant_docs) AS doc_id FROM q WHERE length(trim(quote)) > 0),
@@ -275,13 +296,16 @@ def oracle_sql() -> dict[str, str]:
             SELECT query_id, count(*) AS quotes, count(*) FILTER (WHERE held) AS found FROM h GROUP BY query_id""",
         "chunk_invariants": "SELECT source, count(*) FILTER (WHERE length(trim(text)) > 0) AS texts, 0::BIGINT AS broken, 0::BIGINT AS too_long, 0::BIGINT AS lost FROM documents JOIN (SELECT DISTINCT tenant_id FROM chunk_configs) ON source = tenant_id GROUP BY source",
         "draft_problems": f"""SELECT problem, count(*) AS n, min(query_id) AS first_query FROM (SELECT DISTINCT query_id, problem FROM (SELECT query_id, unnest([
-            CASE WHEN coalesce(length(trim(text)), 0) = 0 THEN 'no text' END, CASE WHEN length(text) > 400 THEN 'text too long' END, CASE WHEN tenant_id IS NULL THEN 'no tenant' END,
+            CASE WHEN coalesce(length(trim(text)), 0) = 0 THEN 'no text' END, CASE WHEN tenant_id IS NULL THEN 'no tenant' END,
             CASE WHEN NOT coalesce(status IN ('draft', 'verified', 'rejected'), false) THEN 'unknown status' END,
-            CASE WHEN category <> 'unanswerable' AND coalesce(len(relevant_docs), 0) < 1 THEN 'answerable without documents' END,
-            CASE WHEN category = 'unanswerable' AND coalesce(len(relevant_docs), 0) > 0 THEN 'unanswerable with documents' END,
-            CASE WHEN length(answer) > 0 AND coalesce(len(evidence), 0) < 1 THEN 'answer without evidence' END,
+            CASE WHEN NOT coalesce(category IN {review.CATEGORIES}, false) THEN 'unknown category' END,
+            CASE WHEN NOT u AND coalesce(len(relevant_docs), 0) < 1 THEN 'answerable without documents' END, CASE WHEN u AND coalesce(len(relevant_docs), 0) > 0 THEN 'unanswerable with documents' END,
+            CASE WHEN category = 'multi-doc' AND coalesce(len(relevant_docs), 0) < 2 THEN 'one document for several' END,
+            CASE WHEN u AND coalesce(len(evidence), 0) > 0 THEN 'unanswerable with evidence' END, CASE WHEN NOT u AND coalesce(len(evidence), 0) < 1 THEN 'no evidence' END,
+            CASE WHEN NOT u AND coalesce(length(trim(answer)), 0) = 0 THEN 'no answer' END,
             CASE WHEN len(list_distinct(relevant_docs)) < len(relevant_docs) THEN 'repeated document' END,
-            CASE WHEN len(list_filter(evidence, lambda e: length(trim(e)) < 10)) > 0 THEN 'short quote' END]) AS problem FROM {_Q}) WHERE problem IS NOT NULL) GROUP BY problem""",
+            CASE WHEN NOT u AND len(list_filter(evidence, lambda e: length(trim(e)) < {review.LEAST_QUOTE})) > 0 THEN 'short quote' END]) AS problem
+            FROM (SELECT *, coalesce(category, '') = 'unanswerable' AS u FROM {_SPOILT})) WHERE problem IS NOT NULL) GROUP BY problem""",
         "stale_documents": """WITH l AS (SELECT tenant_id, doc_id, max(published_at) AS seen FROM ingest_messages GROUP BY ALL)
             SELECT tenant_id, count(*) AS n_stale FROM l JOIN (SELECT tenant_id, max(seen) AS now_ FROM l GROUP BY tenant_id) USING (tenant_id) WHERE now_ - seen > INTERVAL 8760 HOURS GROUP BY tenant_id""",
         "query_status": f"SELECT status, category, count(*) AS n, count(answer) AS with_answer FROM {_Q} GROUP BY ALL",

@@ -42,6 +42,24 @@ def read_records(spark: SparkSession, folder: str, schema: str, settings: dict |
     return rows.filter(F.col("_torn").isNull()).drop("_torn")
 
 
+def write_report(tables: dict[str, DataFrame], folder: str, most_rows: int = 10_000) -> None:
+    """Small result tables as JSON (one array of rows per table) and as one Markdown report, for people and plots.
+
+    Curves and summaries have a row per grid place or configuration; a table of more than ``most_rows`` rows is an
+    error and belongs into a data file.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    report = []
+    for name, df in tables.items():
+        rows = [r.asDict(recursive=True) for r in df.limit(most_rows + 1).collect()]
+        if len(rows) > most_rows:
+            raise ValueError(f"{name} has more than {most_rows} rows")
+        spark.createDataFrame([(json.dumps(rows, default=str, ensure_ascii=False),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/{name}.json")
+        shown = ["| " + " | ".join("" if r[c] is None else str(r[c]).replace("|", "\\|").replace("\n", " ") for c in df.columns) + " |" for r in rows]
+        report += [f"## {name}", "", "| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns), *shown, ""]
+    spark.createDataFrame([("\n".join(report),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/report.md")
+
+
 def still_to_do(wanted: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows of ``wanted`` without a record yet, so that a run can be taken up again."""
     return wanted.join(done.select(key).distinct(), key, "left_anti")

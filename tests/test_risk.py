@@ -125,3 +125,20 @@ def test_trials_carry_useful_and_unanswerable(spark):
         served = [x for x in side if r.certified and x[3] and x[1] <= r.threshold]
         assert r.certified and (r.n_test, r.answered, r.unanswerable) == (len(side), len(served), sum(not x[5] for x in side))
         assert (r.useful, r.unanswerable_answered) == (sum(x[4] for x in served), sum(not x[5] for x in served))
+
+
+def test_guarantees_transfer_missing_scores_and_evidence(spark):
+    rows = [(f"q{i}", lang, [claim(0.9 if i % 10 else 0.2, corrupted=(lang == "en" and i % 3 == 0))], True, "x") for lang in ("tr", "en") for i in range(200)]
+    df = spark.createDataFrame([(f"{r[1]}{r[0]}", *r[1:]) for r in rows], f"query_id string, lang string, claims array<{CLAIM}>, answerable boolean, category string")
+    obs = R.observations(df, "nli", "strict").join(df.select("query_id", "lang"), "query_id")
+    table = {r.alpha: r for r in R.guarantees(R.threshold_candidates(obs.filter("lang = 'tr'")), [0.01, 0.1, 0.3], 0.05).collect()}
+    assert not table[0.01].certified and table[0.1].certified and table[0.3].certified and table[0.3].coverage == table[0.1].coverage
+    moved = {(r.learned_on, r.tested_on): r for r in R.transfer(obs, "lang", 0.1, 0.05).collect()}
+    assert set(moved) == {("tr", "en"), ("en", "tr")} and not moved["tr", "en"].holds and moved["tr", "en"].failures > 0
+    assert moved["en", "tr"].threshold == 0 and not moved["en", "tr"].holds  # nothing was certified there
+    assert {r.variant: (r.n_claims, r.n_missing) for r in R.missing_scores(df, ["nli", "hits"]).collect()} == {"nli": (400, 0), "hits": (400, 400)}
+    quote = "The Board  decides\nwithin thirty days " + "x" * 100
+    chunks = spark.createDataFrame([("c1", "before. the board decides within thirty days " + "x" * 60), ("c1", None), ("c2", "other")], "chunk_id string, text string")
+    got = spark.createDataFrame([("a", "c1"), ("b", "c2"), ("d", "c1"), ("e", None)], "query_id string, chunk_id string")
+    asked = spark.createDataFrame([("a", [quote]), ("b", [quote]), ("d", None), ("e", [" ", None, "x"]), ("f", [])], "query_id string, evidence array<string>")
+    assert {r.query_id: r.found for r in R.evidence_retrieved(got, asked, chunks).collect()} == {"a": True, "b": False, "d": None, "e": False, "f": None}

@@ -1,6 +1,7 @@
 """Plug-ins, moments, table functions, snapshots, review, the engine and the command line."""
 
 import base64
+import json
 from datetime import datetime
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from tarnlake.engine import Config, Engine
 from tarnlake.functions import moments, plugins, tables
 from tarnlake.operators import review
+from tarnlake.sources import files
 from tarnlake.sources import tables as store
 
 
@@ -110,3 +112,32 @@ def test_command_line(spark, tmp_path, capsys):
     main(["query", "query_status", "/root/testdata/sf0.001", "--out", str(tmp_path / "rows")])
     assert spark.read.parquet(str(tmp_path / "rows")).count() > 0
     assert datetime.now().year > 2000
+
+
+def test_draft_rules(spark):
+    fields = "query_id string, tenant_id string, text string, status string, category string, relevant_docs array<string>, evidence array<string>, answer string"
+    long = ["a quote of fifteen letters"]
+    rows = [
+        ("ok", "t", "x", "draft", "answerable", ["d"], long, "a"), ("free", "t", "x", "draft", "unanswerable", [], [], None), ("bad", None, " ", "odd", "odd", None, None, None),
+        ("un", "t", "x", "draft", "unanswerable", ["d"], ["q"], None), ("multi", "t", "x", "verified", "multi-doc", ["d", "d"], ["short", *long], "a"), ("one", "t", "x", "draft", "multi-doc", ["d"], long, "a"),
+        ("twice", "t", "x", "draft", "answerable", ["d"], long, "a"), ("twice", "t", "y", "draft", "answerable", ["d"], long, "a"), ("none", "t", "x", "draft", None, ["d"], long, "a"),
+    ]
+    held = spark.createDataFrame([("ok", "q", True), ("one", "q", False)], "query_id string, quote string, held boolean")
+    got = {}
+    for r in review.draft_problems(spark.createDataFrame(rows, fields), held).collect():
+        got.setdefault(r.query_id, set()).add(r.problem)
+    assert got == {
+        "bad": {"no tenant", "no text", "unknown status", "unknown category", "answerable without documents", "no evidence", "no answer"},
+        "un": {"unanswerable with documents", "unanswerable with evidence"}, "multi": {"repeated document", "short quote"}, "one": {"one document for several", "quote in no document"},
+        "twice": {"repeated id"}, "none": {"unknown category"},
+    }
+
+
+def test_report(spark, tmp_path):
+    curve = spark.createDataFrame([(0.1, 0.5, None), (0.2, 0.6, "a|b")], "coverage double, risk double, note string")
+    files.write_report({"curve": curve}, str(tmp_path / "r"))
+    rows = json.loads(spark.read.text(str(tmp_path / "r" / "curve.json")).first()["value"])
+    assert rows == [{"coverage": 0.1, "risk": 0.5, "note": None}, {"coverage": 0.2, "risk": 0.6, "note": "a|b"}]
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "r" / "report.md")).collect()][:4] == ["## curve", "", "| coverage | risk | note |", "| --- | --- | --- |"]
+    with pytest.raises(ValueError):
+        files.write_report({"curve": curve}, str(tmp_path / "r"), most_rows=1)

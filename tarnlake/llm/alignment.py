@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnlake.session import checkpointed, prepare
+from tarnlake.session import checkpointed, prepare, spread
 
 _NUMBER = re.compile(r"\d+(?:[.,]\d+)*")
 _WORDS = r"(?U)[\p{L}\p{N}]+(?:[.,]\p{N}+)*"
@@ -35,6 +35,7 @@ ROUNDS = 4
 LEAST = 0.55  # similarity of a link that counts
 PART = 0.75  # coverage of a sentence that is merged into a longer one
 KEEP = 0.02  # translations below this probability are dropped
+MOST_ENTRIES = 300_000  # translations that may be broadcast
 
 
 def article_sentences(articles: DataFrame, lang: str) -> DataFrame:
@@ -172,42 +173,52 @@ def score_matrix(
     """
     lw, rw = [_score_words(s) for s in left], [_score_words(s) for s in right]
 
-    def weights(side: list[tuple[list[str], set[str]]], best: dict[str, float]) -> dict[str, float]:
+    def table_of(side: list[tuple[list[str], set[str]]], part: int, best: dict[str, float]) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
+        """Place of each word (or figure), its weight, and which sentence holds which."""
+        held: dict[str, int] = {}
+        for sentence in side:
+            for w in sentence[part]:
+                held[w] = held.get(w, 0) + 1
+        place = {w: k for k, w in enumerate(sorted(held))}
         n = len(side)
-        df: dict[str, int] = {}
-        for words, figures in side:
-            for w in (*words, *figures):
-                df[w] = df.get(w, 0) + 1
         # words without a clear translation tell little
-        return {w: math.log(1.3 + n / c) * (1.0 if w[0].isdigit() else min(1.0, 4 * best.get(w, 0.0))) for w, c in df.items()}
-
-    wl, wr = weights(lw, best_l), weights(rw, best_r)
-    cover_l, cover_r = np.zeros((len(left), len(right))), np.zeros((len(left), len(right)))
-    for i, (words_i, fig_i) in enumerate(lw):
-        lexical_i = sum(wl[w] for w in words_i)
-        total_i = lexical_i + 1.5 * sum(wl[w] for w in fig_i)
-        for j, (words_j, fig_j) in enumerate(rw):
-            reached: dict[str, float] = {}
-            got = 0.0
-            for w in words_i:
-                table = lexicon.get(w, {})
-                top = 0.0
-                for v in words_j:
-                    p = table.get(v, 0.0)
-                    if p > reached.get(v, 0.0):
-                        reached[v] = p
-                    top = max(top, p)
-                if top:
-                    got += wl[w] * min(1.0, 1.4 * top / best_l.get(w, 1.0))
-            same = fig_i & fig_j
-            # equal figures alone may be chance: without words to bear them out they count half
-            bare = 0.5 if lexical_i and got < 0.2 * lexical_i else 1.0
-            got += 1.5 * sum(wl[w] for w in same)
-            cover_l[i, j] = bare * got / total_i if total_i else 0.0
-            total_j = sum(wr[v] for v in words_j) + 1.5 * sum(wr[v] for v in fig_j)
-            back = sum(wr[v] * min(1.0, 1.4 * p / best_r.get(v, 1.0)) for v, p in reached.items() if p > 0)
-            back += 1.5 * sum(wr[v] for v in same)
-            cover_r[i, j] = bare * back / total_j if total_j else 0.0
+        weight = np.array([math.log(1.3 + n / held[w]) * (1.0 if w[0].isdigit() else min(1.0, 4 * best.get(w, 0.0))) for w in place])
+        member = np.zeros((n, len(place)), dtype=bool)
+        for i, sentence in enumerate(side):
+            member[i, [place[w] for w in sentence[part]]] = True
+        return place, weight, member
+
+    words_l, weight_l, in_l = table_of(lw, 0, best_l)
+    words_r, weight_r, in_r = table_of(rw, 0, best_r)
+    figures_l, fig_weight_l, fig_l = table_of(lw, 1, best_l)
+    figures_r, fig_weight_r, fig_r = table_of(rw, 1, best_r)
+    given = np.zeros((len(words_l), len(words_r)))
+    for e, k in words_l.items():
+        for f, q in lexicon.get(e, {}).items():
+            if f in words_r:
+                given[k, words_r[f]] = q
+    strongest_l = np.array([best_l.get(w, 1.0) for w in words_l])
+    strongest_r = np.array([best_r.get(w, 1.0) for w in words_r])
+    got, back = np.zeros((len(left), len(right))), np.zeros((len(left), len(right)))
+    if given.any():
+        for j in range(len(right)):
+            top = given[:, in_r[j]].max(axis=1, initial=0.0)
+            got[:, j] = in_l @ (weight_l * np.minimum(1.0, 1.4 * top / strongest_l))
+        for i in range(len(left)):
+            reached = given[in_l[i]].max(axis=0, initial=0.0)
+            back[i] = in_r @ (weight_r * np.minimum(1.0, 1.4 * reached / strongest_r))
+    both = [w for w in figures_l if w in figures_r]
+    at_l, at_r = [figures_l[w] for w in both], [figures_r[w] for w in both]
+    same_l = (fig_l[:, at_l] * fig_weight_l[at_l]) @ fig_r[:, at_r].T.astype(float) if both else 0.0
+    same_r = fig_l[:, at_l].astype(float) @ (fig_r[:, at_r] * fig_weight_r[at_r]).T if both else 0.0
+    lexical_l = in_l @ weight_l
+    total_l = lexical_l + 1.5 * (fig_l @ fig_weight_l)
+    total_r = in_r @ weight_r + 1.5 * (fig_r @ fig_weight_r)
+    # equal figures alone may be chance: without words to bear them out they count half
+    bare = np.where((lexical_l[:, None] > 0) & (got < 0.2 * lexical_l[:, None]), 0.5, 1.0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cover_l = np.where(total_l[:, None] > 0, bare * (got + 1.5 * same_l) / total_l[:, None], 0.0)
+        cover_r = np.where(total_r[None, :] > 0, bare * (back + 1.5 * same_r) / total_r[None, :], 0.0)
     return cover_l, cover_r
 
 
@@ -288,17 +299,46 @@ def align_lexically(
     return sorted(links)
 
 
-def align_articles(articles: DataFrame, left: str = "tr", right: str = "en", rounds: int = ROUNDS) -> DataFrame:
-    """prefix, article_key, left_no, right_no: numbers from 1 of sentences that share content."""
-    prepare(articles.sparkSession)
-    pairs = checkpointed(paired_articles(articles, left, right))
-    lexicon = train_translations(confident_pairs(pairs, left, right), rounds)
+def _aligned(sentences_a: list[str], sentences_b: list[str], table: dict, best_l: dict, best_r: dict) -> list[tuple[int, int]]:
+    return [(i + 1, j + 1) for i, j in align_lexically(sentences_a or [], sentences_b or [], table, best_l, best_r)]
+
+
+def _pair_rows(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) if rows else [()] * 4
+    return pa.RecordBatch.from_arrays(
+        [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())],
+        names=["prefix", "article_key", "left_no", "right_no"],
+    )
+
+
+_PAIR_SCHEMA = "prefix string, article_key string, left_no int, right_no int"
+
+
+def _align_with_all(pairs: DataFrame, lexicon: DataFrame, left: str, right: str) -> DataFrame:
+    """Alignment with the whole table of translations at hand in every task; no shuffle."""
+    found = lexicon.toArrow()  # its size was checked
+    shared = pairs.sparkSession.sparkContext.broadcast(found)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table: dict[str, dict[str, float]] = {}
+        best_l: dict[str, float] = {}
+        best_r: dict[str, float] = {}
+        for e, f, p in zip(*(shared.value.column(c).to_pylist() for c in ("e", "f", "p")), strict=True):
+            table.setdefault(e, {})[f] = p
+            best_l[e] = max(p, best_l.get(e, 0.0))
+            best_r[f] = max(p, best_r.get(f, 0.0))
+        for batch in batches:
+            yield _pair_rows([(k, n, *link) for k, n, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True) for link in _aligned(a, b, table, best_l, best_r)])
+
+    return pairs.select("prefix", "article_key", f"{left}_sents", f"{right}_sents").mapInArrow(run, _PAIR_SCHEMA)
+
+
+def _align_with_local(pairs: DataFrame, lexicon: DataFrame, left: str, right: str) -> DataFrame:
+    """Alignment where each article is joined with the part of the table that its words need."""
     key = ["prefix", "article_key"]
     left_words = pairs.select(*key, F.explode(F.array_distinct(F.flatten(F.transform(f"{left}_sents", lambda s: _word_list(s))))).alias("e"))
     right_words = pairs.select(*key, F.explode(F.array_distinct(F.flatten(F.transform(f"{right}_sents", lambda s: _word_list(s))))).alias("f"))
-    lexicon = checkpointed(lexicon)
     best_e, best_f = lexicon.groupBy("e").agg(F.max("p").alias("p")), lexicon.groupBy("f").agg(F.max("p").alias("p"))
-    # the part of the table that an article needs: words of its left side with translations on its right side
     none = F.lit(None).cast("string")
     local = left_words.join(lexicon, "e").join(right_words, [*key, "f"]).select(*key, "e", "f", "p")
     left_best = left_words.join(best_e, "e").select(*key, "e", none.alias("f"), "p")
@@ -312,24 +352,28 @@ def align_articles(articles: DataFrame, left: str = "tr", right: str = "en", rou
             rows: list[tuple] = []
             for prefix, article, a, b, entries in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 table: dict[str, dict[str, float]] = {}
-                best_l: dict[str, float] = {}
-                best_r: dict[str, float] = {}
-                for entry in entries or ():
-                    e, f, p = entry["e"], entry["f"], entry["p"]
-                    if f is None:
-                        best_l[e] = p
-                    elif e is None:
-                        best_r[f] = p
-                    else:
-                        table.setdefault(e, {})[f] = p
-                rows.extend((prefix, article, i + 1, j + 1) for i, j in align_lexically(a, b, table, best_l, best_r))
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 4
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())],
-                names=["prefix", "article_key", "left_no", "right_no"],
-            )
-
-    return ready.mapInArrow(run, "prefix string, article_key string, left_no int, right_no int")
+                best_l = {x["e"]: x["p"] for x in entries or () if x["f"] is None}
+                best_r = {x["f"]: x["p"] for x in entries or () if x["e"] is None}
+                for x in entries or ():
+                    if x["e"] is not None and x["f"] is not None:
+                        table.setdefault(x["e"], {})[x["f"]] = x["p"]
+                rows.extend((prefix, article, *link) for link in _aligned(a, b, table, best_l, best_r))
+            yield _pair_rows(rows)
+
+    return ready.mapInArrow(run, _PAIR_SCHEMA)
+
+
+def align_articles(articles: DataFrame, left: str = "tr", right: str = "en", rounds: int = ROUNDS, most_entries: int = MOST_ENTRIES) -> DataFrame:
+    """prefix, article_key, left_no, right_no: numbers from 1 of sentences that share content.
+
+    The table of translations is broadcast where a count shows at most ``most_entries`` pairs of words; beyond that each
+    article is joined with the part it needs.  Both ways give the same rows.
+    """
+    prepare(articles.sparkSession)
+    pairs = checkpointed(paired_articles(articles, left, right))
+    lexicon = checkpointed(train_translations(confident_pairs(pairs, left, right), rounds))
+    small = lexicon.limit(most_entries + 1).count() <= most_entries
+    return (_align_with_all if small else _align_with_local)(spread(pairs), lexicon, left, right)
 
 
 def _word_list(sentence):  # noqa: ANN001, ANN202

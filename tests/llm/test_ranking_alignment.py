@@ -109,6 +109,7 @@ def test_alignment_recovers_reordered_and_merged(spark):
     rows += [rows[0], ("p", "tr", "alone", ["Tek."], "x"), ("p", "en", "empty", [], "x"), ("p", "tr", "empty", ["Var."], "x"), (None, "tr", "k", ["a."], "x"), ("p", "en", "null", None, "x")]
     df = spark.createDataFrame(rows, "prefix string, lang string, article_key string, paragraphs array<string>, left_no string")
     got = {(r.article_key, r.left_no, r.right_no) for r in alignment.align_articles(df).collect()}
+    assert {(r.article_key, r.left_no, r.right_no) for r in alignment.align_articles(df, most_entries=0).collect()} == got
     good = len(got & truth)
     assert good / len(got) > 0.93 and good / len(truth) > 0.93
     assert alignment.align_articles(df.limit(0)).count() == 0

@@ -244,11 +244,12 @@ def split_sides(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def evidence_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Whether the chunks of each response hold the start of any quote of its query; null where it names none."""
+    """Whether the chunks of each response hold the start of any quote of its query."""
     retrieved = _records(spark, sf).select("query_id", F.explode("retrieved").alias("chunk_id"))
     asked = read(spark, sf, "eval_queries").select("query_id", "evidence").dropDuplicates(["query_id"])
     asked = asked.join(_records(spark, sf).select("query_id"), "query_id", "left_semi")
-    return R.evidence_retrieved(retrieved, asked, read(spark, sf, "chunks").select("chunk_id", "text"))
+    rows = R.evidence_retrieved(retrieved, asked, read(spark, sf, "chunks").select("chunk_id", "text"))
+    return rows.select("query_id", F.when(F.col("found").isNull(), "no evidence").when(F.col("found"), "found").otherwise("missing").alias("state"))
 
 
 def guarantee_table(spark: SparkSession, sf: str) -> DataFrame:
@@ -404,7 +405,7 @@ def oracle_sql() -> dict[str, str]:
         "evidence_found": f"""WITH {_R}, q AS (SELECT query_id, list_filter(list_transform(coalesce(any_value(evidence), []), lambda e: substring({_plain('e')}, 1, 80)), lambda h: length(h) > 0) AS hs FROM eval_queries GROUP BY query_id),
             b AS (SELECT chunk_id, {_plain('min(text)')} AS body FROM chunks GROUP BY chunk_id), f AS (SELECT query_id, bool_or(contains(body, h)) AS held
                 FROM (SELECT query_id, unnest(retrieved) AS chunk_id FROM r) JOIN b USING (chunk_id) JOIN (SELECT query_id, unnest(hs) AS h FROM q) USING (query_id) GROUP BY query_id)
-            SELECT query_id, CASE WHEN len(hs) > 0 THEN coalesce(held, false) END AS found FROM q LEFT JOIN f USING (query_id) WHERE query_id IN (SELECT query_id FROM r)""",
+            SELECT query_id, CASE WHEN len(hs) = 0 THEN 'no evidence' WHEN coalesce(held, false) THEN 'found' ELSE 'missing' END AS state FROM q LEFT JOIN f USING (query_id) WHERE query_id IN (SELECT query_id FROM r)""",
         "recall_of_records": f"WITH {_R} SELECT category, count(*) AS n, round(avg(coalesce(list_has_any(retrieved_docs, relevant_docs), false)::INT), 6) AS doc_recall, count(evidence_retrieved) AS n_labelled, round(avg(evidence_retrieved::INT), 6) AS evidence_recall FROM r WHERE answerable GROUP BY category",
         "citation_check": f"""WITH {_R} SELECT query_id, claim_no, len(list_distinct(coalesce(cs, []))) AS cited, len(kn) AS known, array_to_string(list_sort(kn), ',') AS kept FROM (
             SELECT c0.query_id, claim_no, c.citations AS cs, list_distinct(list_intersect(coalesce(c.citations, []), coalesce(retrieved, []))) AS kn FROM c0 JOIN r ON r.query_id = c0.query_id)""",
